@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import canonical, neardup
+from larder.llm import canonical, encoding, leakage, neardup, splitting
 from larder.plans.registry import Registry
 from larder.sources.tables import table
 
@@ -41,3 +41,35 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id_a, chunk_id_b of every pair of near copies."""
     return neardup.found_pairs(table(spark, sf_dir, "all_chunks"))
+
+
+@registry.add("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id of every item that was cut, which is every oversized one."""
+    return splitting.pieces_of(table(spark, sf_dir, "all_chunks")).select("chunk_id").distinct()
+
+
+@registry.add("p7_pieces")
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized item with its metadata as flat columns."""
+    pieces = splitting.pieces_of(table(spark, sf_dir, "all_chunks"))
+    return pieces.select("chunk_id", "piece_no", "pieces", "start", "end", "text", "over_limit", "metadata.folder", "metadata.doc_type", "metadata.source")
+
+
+@registry.add("p8_ids")
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids of every document by byte_bpe_50k."""
+    return encoding.token_ids(table(spark, sf_dir, "documents"))
+
+
+@registry.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id of every document that gives away an item."""
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items")).select("doc_id", "item_id")
+
+
+@registry.add("p9_items")
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each leaked item: documents that hold it, and the longest run of words."""
+    found = leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest_run"))
