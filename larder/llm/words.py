@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 
@@ -27,29 +28,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        data = word.encode("utf-8", "surrogatepass")
+        value = self[word] = zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
+        return value
+
+
 class WordHasher:
     """Maps words to 64-bit hashes that are the same in every process."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Hashes()
 
     def flat(self, words_of_texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All words of all texts in one array, and the number of words of each text."""
-        counts = np.fromiter((len(w) for w in words_of_texts), dtype=np.int64, count=len(words_of_texts))
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = np.empty(int(counts.sum()), dtype=np.uint64)
-        at = 0
-        for words in words_of_texts:
-            for word in words:
-                value = known.get(word)
-                if value is None:
-                    data = word.encode("utf-8", "surrogatepass")
-                    value = known[word] = zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
-                out[at] = value
-                at += 1
-        return mix(out), counts
+        counts = np.fromiter(map(len, words_of_texts), dtype=np.int64, count=len(words_of_texts))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        words = chain.from_iterable(words_of_texts)
+        return mix(np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=int(counts.sum()))), counts
 
 
 def windows(flat: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +64,25 @@ def windows(flat: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, n
     return mix(h[inside]), owner[:n][inside]
 
 
+#: Bits of a hash that stay when it is put behind its owner.
+VALUE_BITS = 48
+_VALUE = np.uint64((1 << VALUE_BITS) - 1)
+
+
 def distinct_pairs(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``(owner, value)``, ordered by both."""
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
-    first = np.ones(len(owner), bool)
-    first[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
-    return owner[first], value[first]
+    """Distinct ``(owner, value)``, ordered by both, from values cut to 48 bits; owners are rows of one batch."""
+    if len(owner) and int(owner.max()) >= 1 << 64 - VALUE_BITS:
+        raise ValueError("a batch must have fewer than 65,536 rows")
+    both = np.sort(owner.astype(np.uint64) << np.uint64(VALUE_BITS) | value & _VALUE)
+    first = np.ones(len(both), bool)
+    first[1:] = both[1:] != both[:-1]
+    both = both[first]
+    return (both >> np.uint64(VALUE_BITS)).astype(np.int64), both & _VALUE
+
+
+def sums(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Sums modulo 2**64 of the values of each of ``n`` owners, which are in order."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    with np.errstate(over="ignore"):
+        return total[ends] - total[np.concatenate([[0], ends[:-1]])]
