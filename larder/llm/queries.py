@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import canonical, encoding, leakage, neardup, splitting
+from larder.llm import boilerplate, canonical, encoding, leakage, neardup, splitting
 from larder.plans.registry import Registry
 from larder.sources.tables import table
 
@@ -73,3 +73,19 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each leaked item: documents that hold it, and the longest run of words."""
     found = leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest_run"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.pages_of(table(spark, sf_dir, "all_chunks"), table(spark, sf_dir, "source_files"))
+
+
+@registry.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, line_no of every line of a web page that is not part of its main body."""
+    return boilerplate.furniture_lines(_pages(spark, sf_dir)).distinct()
+
+
+@registry.add("p4_bodies")
+def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of each web page."""
+    return boilerplate.main_bodies(_pages(spark, sf_dir))
