@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import boilerplate, canonical, encoding, leakage, neardup, splitting
+from larder.llm import boilerplate, canonical, encoding, leakage, neardup, scans, splitting
 from larder.plans.registry import Registry
 from larder.sources.tables import table
 
@@ -89,3 +89,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main body of each web page."""
     return boilerplate.main_bodies(_pages(spark, sf_dir))
+
+
+@registry.add("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, line_no, kind of every noisy line of a scanned page."""
+    return scans.scan_defects(table(spark, sf_dir, "all_chunks"))
+
+
+@registry.add("p5_texts")
+def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scanned text as continuous paragraphs."""
+    return scans.repaired_texts(table(spark, sf_dir, "all_chunks"))
