@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import boilerplate, canonical, encoding, leakage, neardup, scans, splitting
+from larder.llm import boilerplate, canonical, encoding, leakage, neardup, pairs, scans, splitting
 from larder.plans.registry import Registry
 from larder.sources.tables import table
 
@@ -101,3 +101,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scanned text as continuous paragraphs."""
     return scans.repaired_texts(table(spark, sf_dir, "all_chunks"))
+
+
+@registry.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, defect of every defective pair."""
+    return pairs.pair_defects(table(spark, sf_dir, "rag_results"))
