@@ -31,6 +31,8 @@ WIDEST, FEWEST = 96, 3
 RECURS = 0.004
 #: A word is misread if undoing a misreading gives a word at least so many times as frequent, and that often at least.
 TIMES, LEAST = 8, 4
+#: Longest run of characters that is counted as a word.
+LONGEST_WORD = 40
 #: Misread words that may be sent to every task; more are joined.
 BROADCAST_WORDS = 300_000
 
@@ -332,7 +334,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         for token, n in raw.items():
             word = bare_word(token)
-            if len(word) > 1 and _SPOKEN.search(word):
+            if 1 < len(word) <= LONGEST_WORD and _SPOKEN.search(word):
                 words[word] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
