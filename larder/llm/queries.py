@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import boilerplate, canonical, encoding, leakage, neardup, pairs, scans, splitting
+from larder.llm import boilerplate, canonical, encoding, leakage, neardup, pairs, privacy, scans, splitting
 from larder.plans.registry import Registry
 from larder.sources.tables import table
 
@@ -107,3 +107,15 @@ def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, defect of every defective pair."""
     return pairs.pair_defects(table(spark, sf_dir, "rag_results"))
+
+
+@registry.add("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, kind, value of every distinct detail of a private person."""
+    return privacy.details(table(spark, sf_dir, "documents"))
+
+
+@registry.add("p10_texts")
+def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with such details replaced by placeholders."""
+    return privacy.masked_texts(table(spark, sf_dir, "documents"))
