@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larder.plans import quantities
+from larder.plans import answers, documents, matching, quantities
 
-MODULES = (quantities,)
+MODULES = (documents, answers, matching, quantities)
 
 
 def runs() -> dict:
