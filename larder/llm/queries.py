@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import boilerplate, canonical, encoding, leakage, neardup, pairs, privacy, scans, splitting
+from larder.llm import boilerplate, canonical, encoding, leakage, neardup, pairs, privacy, scans, splitting, sql
 from larder.plans.registry import Registry
 from larder.sources.tables import table
 
@@ -37,13 +37,19 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(matches.where("entry_id is null").select(F.col("value").alias("nutrient")), "nutrient").select("nutrient", "records")
 
 
-@registry.add("p3_found")
+@registry.add("p3_found", sql.NEAR_COPIES)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id_a, chunk_id_b of every pair of near copies."""
     return neardup.found_pairs(table(spark, sf_dir, "all_chunks"))
 
 
-@registry.add("p7_found")
+@registry.add("p3_classes")
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, class_id, links of every chunk with three words or more; the class is that of its near copies."""
+    return neardup.classes(table(spark, sf_dir, "all_chunks"))
+
+
+@registry.add("p7_found", sql.OVERSIZED)
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id of every item that was cut, which is every oversized one."""
     return splitting.pieces_of(table(spark, sf_dir, "all_chunks")).select("chunk_id").distinct()
