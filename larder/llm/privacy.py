@@ -99,6 +99,14 @@ def _vote(yes: bool, no: bool = False) -> int:
     return -1 if no else int(yes)
 
 
+def _places(text: str, part: str) -> list[int]:
+    out, at = [], text.find(part)
+    while at >= 0:
+        out.append(at)
+        at = text.find(part, at + 1)
+    return out
+
+
 def _within(pattern: re.Pattern, text: str, places: list[int], before: int, behind: int):
     """Matches of a pattern around some places of a text, which are in order."""
     spans: list[list[int]] = []
@@ -153,10 +161,11 @@ _ID_PARTS = ("teuer", "Nr", "nr.", "nummer", "SSN", "NI n", "National Ins", "ass
 
 
 def _ids(text: str):
-    if not any(part in text for part in _ID_PARTS):
+    places = sorted(p for part in _ID_PARTS for p in _places(text, part))
+    if not places:
         return
     seen = set()
-    for m in _ID.finditer(text):
+    for m in _within(_ID, text, places, 70, 110):
         seen.add(m.start())
         before, behind = text[max(0, m.start() - 50) : m.start()], text[m.end() : m.end() + 45]
         labelled, named = bool(_ID_BEFORE.search(before)), bool(_ID_BEHIND.search(behind))
@@ -167,14 +176,24 @@ def _ids(text: str):
             _vote(bool(re.search(r"[A-Z]", m.group())) or "-" in m.group()),
             _vote(labelled or named, not (labelled or named)),
         ), ()
-    for m in _ID_LABELLED.finditer(text):
+    for m in _within(_ID_LABELLED, text, places, 30, 110):
         if m.start("n") not in seen and not any(m.start("n") <= s < m.end("n") for s in seen):
             behind = text[m.end("n") : m.end("n") + 45]
             yield m.start("n"), m.end("n"), (0, 1, _vote(bool(_ID_BEHIND.search(behind))), _vote(bool(re.search(r"[A-Z]", m["n"]))), 1), ()
 
 
+_STREET_ENDS = tuple(re.findall(r"[a-zäöüß]+\.?", _STREET_END.replace("(?:", "").replace("\\", "")))
+_STREET_STARTS = {"Am", "An", "Auf", "Im", "In", "Unter", "Zum", "Zur", "Zu", "Hinter", "Vor", "Bei", "Beim"}
+
+
+def _may_follow_street(text: str, place: int) -> bool:
+    """A quick look at the words before a number."""
+    words = text[max(0, place - 60) : place].split()[-4:]
+    return bool(words) and (words[-1].lower().endswith(_STREET_ENDS) or words[-1][0].isupper() and not _STREET_STARTS.isdisjoint(words))
+
+
 def _addresses(text: str):
-    german = (_DE_ADDRESS.search(text, max(0, h.start() - 60), min(len(text), h.end() + 80)) for h in _HOUSE_AT.finditer(text) if _STREET_UP_TO.search(text, max(0, h.start() - 60), h.start()))
+    german = (_DE_ADDRESS.search(text, max(0, h.start() - 60), min(len(text), h.end() + 80)) for h in _HOUSE_AT.finditer(text) if _may_follow_street(text, h.start()) and _STREET_UP_TO.search(text, max(0, h.start() - 60), h.start()))
     english = _EN_ADDRESS.finditer(text) if any(x in text for x in _EN_STREETS) else ()
     at = -1
     for pattern, found in ((_DE_ADDRESS, german), (_EN_ADDRESS, english)):
@@ -196,21 +215,13 @@ def _addresses(text: str):
             ), ()
 
 
-def _places(text: str, part: str) -> list[int]:
-    out, at = [], text.find(part)
-    while at >= 0:
-        out.append(at)
-        at = text.find(part, at + 1)
-    return out
-
-
 def _names(text: str, known=None):
     done = set()
     places = sorted(p for part in _CUE_PARTS for p in _places(text, part))
     strong = _within(_CUED, text, places, 30, 170) if places else ()
     weak = _WEAKLY_CUED.finditer(text) if places else ()
     single = _within(_SINGLY_CUED, text, places, 30, 170) if places else ()
-    for pattern, found in ((_CUED, strong), (_SINGLY_CUED, single), (_WEAKLY_CUED, weak), (_BRACKETED, _BRACKETED.finditer(text))):
+    for pattern, found in ((_CUED, strong), (_SINGLY_CUED, single), (_WEAKLY_CUED, weak), (_BRACKETED, _within(_BRACKETED, text, _places(text, "("), 4, 80))):
         for m in found:
             start, end = m.span("name")
             if start in done:
