@@ -115,7 +115,7 @@ def classes(lines: list[str], recurring) -> list[int]:
             out.append(DETACHED)
         elif _HEADING.match(x):
             out.append(NUMBERED)
-        elif short[i] and x[0].isupper() and not _RUNS_ON.search(x) and recurring(keys[i].split(" · ")[0]):
+        elif short[i] and x[0].isupper() and not _RUNS_ON.search(x) and recurring(keys[i].split(" · ")[0]) and (len(x) > width or _alone(bare, i, width)):
             out.append(RECURRING)
         elif short[i] and x[0].isupper() and not _RUNS_ON.search(x) and _alone(bare, i, width):
             out.append(REPEATED if count[keys[i]] > 1 and len(x.split()) > 1 else TITLE)
@@ -355,20 +355,20 @@ def misread_words(chunks: DataFrame) -> DataFrame:
 
 
 def recurring_lines(scans: DataFrame) -> set[str]:
-    """Folded short lines that recur on a share of all scanned texts: a table of bounded size."""
+    """Folded short lines that recur on a share of all different scanned texts: a table of bounded size."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: Counter = Counter()
-            texts = 0
-            for text in batch["text"]:
+            rows: set[tuple[int, str]] = set()
+            for text, copy in zip(batch["text"], batch["copy"]):
                 if is_scan(text):
-                    texts += 1
                     bare = [x.strip() for x in text.split("\n")]
-                    seen.update({folded(x) for i, x in enumerate(bare) if x and x[0].isupper() and len(x) <= 60 and x[-1] not in HYPHENS and _starts(bare, i)})
-            yield pd.DataFrame({"key": ["", *seen], "n": [texts, *seen.values()]})
+                    rows.add((copy, ""))
+                    rows.update((copy, folded(x)) for i, x in enumerate(bare) if x and x[0].isupper() and len(x) <= 60 and x[-1] not in HYPHENS and _starts(bare, i))
+            yield pd.DataFrame(list(rows), columns=["copy", "key"])
 
-    counts = scans.mapInPandas(keys, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).persist()
+    shown = scans.select("text", F.xxhash64("text").alias("copy")).mapInPandas(keys, "copy bigint, key string").distinct()
+    counts = shown.groupBy("key").agg(F.count("*").alias("n")).persist()
     total = counts.where("key = ''").first()
     rows = counts.where("key <> ''").where(F.col("n") >= max(3, RECURS * (total["n"] if total else 0))).collect()
     counts.unpersist()
