@@ -115,7 +115,7 @@ def classes(lines: list[str], recurring) -> list[int]:
             out.append(DETACHED)
         elif _HEADING.match(x):
             out.append(NUMBERED)
-        elif short[i] and x[0].isupper() and not _RUNS_ON.search(x) and recurring(keys[i].split(" · ")[0]) and (len(x) > width or _alone(bare, i, width)):
+        elif short[i] and x[0].isupper() and not _RUNS_ON.search(x) and recurring(keys[i].split(" · ")[0]) and (len(x) > width or x[-1].isdigit() or _at_edge(bare, i) or _alone(bare, i, width)):
             out.append(RECURRING)
         elif short[i] and x[0].isupper() and not _RUNS_ON.search(x) and _alone(bare, i, width):
             out.append(REPEATED if count[keys[i]] > 1 and len(x.split()) > 1 else TITLE)
@@ -149,11 +149,16 @@ def _starts(bare: list[str], i: int) -> bool:
     return not above or bool(re.search(r"[.!?][\"”“»)]*$", above) or _DETACHED.search(above) or _HEADING.match(above))
 
 
+def _at_edge(bare: list[str], i: int) -> bool:
+    """Whether line i is the first or last of a text or stands beside a page number or a section heading."""
+    beside = bare[i - 1 : i] + bare[i + 1 : i + 2]
+    return i == 0 or i + 1 == len(bare) or any(_PAGE.match(x) or _HEADING.match(x) for x in beside)
+
+
 def _alone(bare: list[str], i: int, width: int) -> bool:
     """Whether line i stands by itself: no sentence runs into it, or it stands at the edge of a page, and the next word
     would have fitted into it, so that it was not broken to keep the width."""
-    edge = i == 0 or i + 1 == len(bare) or bool(_PAGE.match(bare[i - 1]) or _PAGE.match(bare[i + 1]))
-    if not edge and not _starts(bare, i):
+    if not _at_edge(bare, i) and not _starts(bare, i):
         return False
     if len(bare[i]) > width:
         return len(bare[i].split()) <= 7
