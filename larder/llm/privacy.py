@@ -19,12 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm.staging import staged
-from larder.sources.tables import bounded_rows
 
 #: Documents in which a strong cue must introduce a word before it counts as a known name.
 KNOWN_IN = 3
-#: Known names that may be sent to every task; with more of them the gazetteer abstains.
-BROADCAST_NAMES = 300_000
 #: Rounds of expectation-maximisation, steps of the classifier, probability from which a span is a detail.
 ROUNDS, STEPS, ACCEPT = 40, 400, 0.5
 LABELERS = 5
@@ -215,7 +212,7 @@ def _addresses(text: str):
             ), ()
 
 
-def _names(text: str, known=None):
+def _names(text: str):
     done = set()
     places = sorted(p for part in _CUE_PARTS for p in _places(text, part))
     strong = _within(_CUED, text, places, 30, 170) if places else ()
@@ -242,7 +239,7 @@ def _names(text: str, known=None):
                 _vote(len(words) == 2 or bool(re.match(_INITIAL, value)) or single_cue, odd),
                 _vote(pattern is not _WEAKLY_CUED, odd),
                 _vote(bool(_NAME_BEHIND.match(behind))),
-                0 if known is None else _vote(any(w.capitalize() in known or w in known for w in words)),
+                0,
                 _vote(len(value) >= 3 and not any(c.isdigit() for c in value), bool(re.match(r"-\w|\s*-(?:Salat|Suppe)", behind))),
             ), tuple(words)
 
@@ -250,19 +247,15 @@ def _names(text: str, known=None):
 _FINDERS = {"email": _emails, "phone": _phones, "id_number": _ids, "address": _addresses, "name": _names}
 
 
-def proposed(text: str, known=None) -> list[tuple[str, int, int, str, tuple]]:
+def proposed(text: str) -> list[tuple[str, int, int, str, tuple]]:
     """``(kind, start, end, votes, words)`` of every proposed span of a text."""
     out = []
     for kind, find in _FINDERS.items():
-        for start, end, votes, words in find(text, known) if kind == "name" else find(text):
+        for start, end, votes, words in find(text):
             out.append((kind, start, end, "".join("-0+"[v + 1] for v in votes), words))
     return out
 
 
-def _known_vote(votes: str, known: bool) -> str:
-    return votes[:3] + ("+" if known else "0") + votes[4:]
-
-
 class SpanClassifier:
     """Which vote patterns of each kind make a detail."""
 
@@ -310,83 +303,71 @@ class SpanClassifier:
         return self.accepted.get((kind, votes), 0.0) >= ACCEPT
 
 
-_PROPOSED = "doc_id bigint, kind string, start int, end int, value string, votes string, words array<string>"
+_PROPOSED = "doc_id bigint, copy bigint, kind string, start int, end int, value string, votes string, words array<string>"
 
 
 def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
+    names = ["doc_id", "copy", "kind", "start", "end", "value", "votes", "words"]
     for batch in batches:
-        columns: list[list] = [[] for _ in range(7)]
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        columns: list[list] = [[] for _ in types]
+        for doc_id, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text"))):
             for kind, start, end, votes, words in proposed(text):
-                for column, x in zip(columns, (doc_id, kind, start, end, " ".join(text[start:end].split()), votes, list(words))):
+                for column, x in zip(columns, (doc_id, copy, kind, start, end, " ".join(text[start:end].split()), votes, list(words))):
                     column.append(x)
-        types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "kind", "start", "end", "value", "votes", "words"])
-
-
-def known_names(spans: DataFrame) -> set[str]:
-    """Words that strong cues introduce in several documents; empty where they are too many to be sent around."""
-    strong = spans.where("kind = 'name' and substr(votes, 1, 2) = '++'").select("doc_id", F.explode("words").alias("word"))
-    counted = strong.select("doc_id", F.initcap("word").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN_IN)
-    rows = bounded_rows(counted.select("word"), BROADCAST_NAMES)
-    return {r["word"] for r in rows} if rows is not None else set()
-
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-def _judged(documents: DataFrame) -> tuple[DataFrame, set[str], SpanClassifier]:
-    spans = staged(documents.where(F.length("text") > 0).select("doc_id", "text").mapInArrow(_proposals, _PROPOSED))
-    known = known_names(spans)
-    shared = spans.sparkSession.sparkContext.broadcast(known)
-
-    @F.pandas_udf(T.StringType())
-    def voted(kinds: pd.Series, votes: pd.Series, words: pd.Series) -> pd.Series:
-        names = shared.value
-        return pd.Series([_known_vote(v, any(w.title() in names or w.capitalize() in names for w in ws)) if k == "name" else v for k, v, ws in zip(kinds, votes, words)], dtype=object)
-
-    judged = spans.withColumn("votes", voted("kind", "votes", "words"))
-    counts = judged.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
-    return judged, known, SpanClassifier().fit([tuple(r) for r in counts])
 
-
-def details(documents: DataFrame) -> DataFrame:
-    """``doc_id, kind, value`` of every distinct detail of a private person.
+def _judged(documents: DataFrame) -> DataFrame:
+    """Accepted spans: ``doc_id, copy, kind, start, end, value``; ``copy`` is a hash of the text they stand in.
 
     The texts are read once, in a narrow map; the proposed spans are written to the shared folder, and gazetteer, vote
-    counts and the decision work on them. Vote patterns are at most 3**5 for each kind. Null and empty texts give no rows.
+    counts and the decision work on them. The gazetteer is a join, so it may be of any size; vote patterns are at most
+    3**5 for each kind.
     """
-    judged, _, classifier = _judged(documents)
+    texts = documents.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    spans = staged(texts.mapInArrow(_proposals, _PROPOSED))
+    key = ["doc_id", "copy", "start", "end"]
+    names = spans.where("kind = 'name'").select(*key, "votes", F.explode("words").alias("word")).withColumn("word", F.initcap("word"))
+    strong = names.where("substr(votes, 1, 2) = '++'").select("doc_id", "word").distinct()
+    known = strong.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN_IN).select("word")
+    seen = names.join(known, "word").select(*key).distinct().withColumn("kind", F.lit("name")).withColumn("known", F.lit(True))
+    vote = F.when(F.col("known"), F.concat(F.substring("votes", 1, 3), F.lit("+"), F.substring("votes", 5, LABELERS))).otherwise(F.col("votes"))
+    judged = staged(spans.drop("words").join(seen, [*key, "kind"], "left").withColumn("votes", vote).drop("known"))
+    counts = judged.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
+    classifier = SpanClassifier().fit([tuple(r) for r in counts])
     accepted = [[k, v] for (k, v), p in classifier.accepted.items() if p >= ACCEPT]
     keep = documents.sparkSession.createDataFrame(accepted or [["", ""]], "kind string, votes string")
-    return judged.join(F.broadcast(keep), ["kind", "votes"]).select("doc_id", "kind", "value").distinct()
+    return judged.join(F.broadcast(keep), ["kind", "votes"]).drop("votes")
+
+
+def details(documents: DataFrame) -> DataFrame:
+    """``doc_id, kind, value`` of every distinct detail of a private person. Null and empty texts give no rows."""
+    return _judged(documents).select("doc_id", "kind", "value").distinct()
 
 
 def masked_texts(documents: DataFrame) -> DataFrame:
     """``doc_id, text`` with every detail replaced by a placeholder of its type; the rest of the text is unchanged.
 
-    Where spans overlap, the longer one gives the placeholder. Null texts stay null.
+    Where spans overlap, the longer one gives the placeholder. Null texts stay null, rows are neither lost nor doubled.
     """
-    _, known, classifier = _judged(documents)
-    shared = documents.sparkSession.sparkContext.broadcast((known, classifier))
+    spans = _judged(documents).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "end", "kind")).alias("spans"))
+    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("copy")).join(spans, ["doc_id", "copy"], "left")
 
     @F.pandas_udf(T.StringType())
-    def mask(texts: pd.Series) -> pd.Series:
-        known, classifier = shared.value
-        return texts.map(lambda t: masked(t, known, classifier) if t else t)
+    def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([masked(t, [(x["start"], x["end"], x["kind"]) for x in s]) if s is not None else t for t, s in zip(texts, spans)], dtype=object)
 
-    return documents.select("doc_id", mask("text").alias("text"))
+    return keyed.select("doc_id", mask("text", "spans").alias("text"))
 
 
-def masked(text: str, known: set[str], classifier: SpanClassifier) -> str:
-    spans = []
-    for kind, start, end, votes, words in proposed(text):
-        if kind == "name":
-            votes = _known_vote(votes, any(w.title() in known or w.capitalize() in known for w in words))
-        if classifier.accepts(kind, votes):
-            spans.append((start, end, kind))
-    out, at = [], 0
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with placeholders for ``(start, end, kind)``."""
     chosen: list[tuple[int, int, str]] = []
-    for span in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
+    for span in sorted(spans, key=lambda s: (s[0] - s[1], s)):
         if all(span[1] <= c[0] or span[0] >= c[1] for c in chosen):
             chosen.append(span)
+    out, at = [], 0
     for start, end, kind in sorted(chosen):
         out += [text[at:start], PLACEHOLDERS[kind]]
         at = end

@@ -20,7 +20,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from larder.llm.staging import staged
 from larder.sources.tables import bounded_rows
 
 #: Texts that the model is fitted on, at most, and rounds of hard EM.
@@ -239,13 +241,14 @@ def unread(word: str) -> set[str]:
     return out
 
 
-def defects(text: str, model: LineModel, recurring, misread) -> list[tuple[int, str]]:
-    """``(line number from 1, kind)`` of a scanned text."""
+def layout(text: str, model: LineModel, recurring) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, int]]]:
+    """What the lines of a scanned text show by themselves, as ``(line number from 1, kind)``, and the words to look up, as
+    ``(word, line of its first part, line of its second part, length of the first part)``."""
     lines = text.split("\n")
     states = model.label(classes(lines, recurring))
-    out = [(i, "header" if s == HEADER else "page_no") for i, s in enumerate(states, 1) if s in (HEADER, PAGE_NO)]
+    out = {(i, "header" if s == HEADER else "page_no") for i, s in enumerate(states, 1) if s in (HEADER, PAGE_NO)}
     body = [i for i, s in enumerate(states) if s in (BODY, HEADING) and lines[i].strip()]
-    bad: set[int] = set()
+    asked: list[tuple[str, int, int, int]] = []
     head = None
     for n, i in enumerate(body):
         tokens = lines[i].split()
@@ -254,25 +257,39 @@ def defects(text: str, model: LineModel, recurring, misread) -> list[tuple[int,
         split = _is_split(last, following[0] if following else None)
         if head is not None:
             stem, owner = head
-            whole = bare_word(stem + tokens[0])
-            right = misread(whole)
-            if right is not None:
-                where = next((k for k, (a, b) in enumerate(zip(whole, right)) if a != b), len(whole))
-                bad.add(owner if where < len(bare_word(stem)) else i)
-            elif _SIGNS.search(bare_word(tokens[0])):
-                bad.add(i)
+            asked.append((bare_word(stem + tokens[0]), owner + 1, i + 1, len(bare_word(stem))))
+            if _SIGNS.search(bare_word(tokens[0])):
+                out.add((i + 1, "char"))
         for token in tokens[head is not None : len(tokens) - split]:
             word = bare_word(token)
-            if _SPOKEN.search(word) and (misread(word) is not None or _SIGNS.search(word)):
-                bad.add(i)
-                break
+            if _SPOKEN.search(word):
+                asked.append((word, i + 1, i + 1, len(word)))
+                if _SIGNS.search(word):
+                    out.add((i + 1, "char"))
         head = None
         if split:
-            out.append((i + 1, "hyphen"))
+            out.add((i + 1, "hyphen"))
             head = (last.rstrip(HYPHENS), i)
-            if _SIGNS.search(bare_word(head[0])) and len(tokens) > 0:
-                bad.add(i)
-    return sorted(out + [(i + 1, "char") for i in bad])
+            if _SIGNS.search(bare_word(head[0])):
+                out.add((i + 1, "char"))
+    return sorted(out), asked
+
+
+def misread_line(word: str, right: str, first: int, second: int, stem: int) -> int:
+    """The line on which the misread part of a word stands."""
+    where = next((k for k, (a, b) in enumerate(zip(word, right)) if a != b), len(word))
+    return first if where < stem else second
+
+
+def defects(text: str, model: LineModel, recurring, misread) -> list[tuple[int, str]]:
+    """``(line number from 1, kind)`` of a scanned text."""
+    shown, asked = layout(text, model, recurring)
+    out = set(shown)
+    for word, first, second, stem in asked:
+        right = misread(word)
+        if right is not None:
+            out.add((misread_line(word, right, first, second, stem), "char"))
+    return sorted(out)
 
 
 def _is_split(last: str, following: str | None) -> bool:
@@ -387,41 +404,69 @@ def fitted(scans: DataFrame, recurring: set[str]) -> LineModel:
 
 
 def _tools(chunks: DataFrame):
+    """The scans, the fitted model with the recurring lines, the misread words as a table, and as a dict if they are few."""
     scans = scans_of(chunks)
     recurring = recurring_lines(scans)
     model = fitted(scans, recurring)
-    words = misread_words(chunks)
+    words = staged(misread_words(chunks))
     rows = bounded_rows(words, BROADCAST_WORDS)
-    if rows is None:
-        raise ValueError(f"more than {BROADCAST_WORDS} misread words: pass a larger bound")
-    return scans, chunks.sparkSession.sparkContext.broadcast((model, recurring, {r["word"]: r["right"] for r in rows}))
+    known = None if rows is None else {r["word"]: r["right"] for r in rows}
+    return scans, words, known, chunks.sparkSession.sparkContext.broadcast((model, recurring, known))
+
+
+def _questions(scans: DataFrame, shared) -> DataFrame:
+    """Every word to look up: ``chunk_id, word, first, second, stem``; only those that hold a usual misreading."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, recurring, _ = shared.value
+        wrong = [w for w, _ in MISREADINGS]
+        for batch in batches:
+            rows = [(c, *q) for c, t in zip(batch["chunk_id"], batch["text"]) if is_scan(t) for q in layout(t, model, recurring.__contains__)[1] if any(w in q[0] for w in wrong)]
+            yield pd.DataFrame(rows, columns=["chunk_id", "word", "first", "second", "stem"])
+
+    return scans.mapInPandas(ask, "chunk_id bigint, word string, first int, second int, stem int").distinct()
 
 
 def scan_defects(chunks: DataFrame) -> DataFrame:
     """``chunk_id, line_no, kind`` of every noisy line of scanned pages: header, page_no, hyphen, char.
 
     Lines are counted from 1 with blank ones. Null and empty texts, texts that are not set in lines and other document
-    types give no rows; re-delivered chunks count once.
+    types give no rows; re-delivered chunks count once. Misread words are sent to every task where their number is within a
+    checked bound; beyond it the words of the texts are joined with them.
     """
-    scans, shared = _tools(chunks)
+    scans, words, known, shared = _tools(chunks)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, recurring, words = shared.value
+        model, recurring, known = shared.value
         for batch in batches:
-            rows = [(c, n, k) for c, t in zip(batch["chunk_id"], batch["text"]) if is_scan(t) for n, k in defects(t, model, recurring.__contains__, words.get)]
+            rows = [(c, n, k) for c, t in zip(batch["chunk_id"], batch["text"]) if is_scan(t) for n, k in defects(t, model, recurring.__contains__, (known or {}).get)]
             yield pd.DataFrame(rows, columns=["chunk_id", "line_no", "kind"])
 
-    return scans.mapInPandas(find, "chunk_id bigint, line_no int, kind string").distinct()
+    found = scans.mapInPandas(find, "chunk_id bigint, line_no int, kind string")
+    if known is None:
+        place = F.udf(misread_line, T.IntegerType(), useArrow=True)
+        joined = _questions(scans, shared).join(words, "word")
+        found = found.unionByName(joined.select("chunk_id", place("word", "right", "first", "second", "stem").alias("line_no"), F.lit("char").alias("kind")))
+    return found.distinct()
 
 
 def repaired_texts(chunks: DataFrame) -> DataFrame:
     """``chunk_id, text`` of every scanned text as continuous paragraphs."""
-    scans, shared = _tools(chunks)
+    scans, words, known, shared = _tools(chunks)
+    texts = scans.groupBy("chunk_id").agg(F.min("text").alias("text"))
+    if known is None:
+        own = _questions(scans, shared).join(words, "word").groupBy("chunk_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("own"))
+        texts = texts.join(own, "chunk_id", "left")
+    else:
+        texts = texts.withColumn("own", F.lit(None).cast("map<string,string>"))
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, recurring, words = shared.value
+        model, recurring, known = shared.value
         for batch in batches:
-            rows = [(c, paragraphs(t, model, recurring.__contains__, words.get)) for c, t in zip(batch["chunk_id"], batch["text"]) if is_scan(t)]
+            rows = []
+            for chunk_id, text, own in zip(batch["chunk_id"], batch["text"], batch["own"]):
+                if is_scan(text):
+                    rows.append((chunk_id, paragraphs(text, model, recurring.__contains__, (known if known is not None else dict(own or {})).get)))
             yield pd.DataFrame(rows, columns=["chunk_id", "text"])
 
-    return scans.mapInPandas(repair, "chunk_id bigint, text string").distinct()
+    return texts.select("chunk_id", "text", "own").mapInPandas(repair, "chunk_id bigint, text string")
