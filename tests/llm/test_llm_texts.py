@@ -70,14 +70,19 @@ def test_scan_lines():
     assert "Jahreszeit und Angebot. Typ-2-Diabetes" in text and "Mahlzeiten, die man am" in text and "Merkheft" not in text and "17" not in text
 
 
-def test_scan_defects(spark):
+@pytest.mark.parametrize("bound", [300_000, 0])
+def test_scan_defects(spark, monkeypatch, bound):
+    """The same lines whether the misread words are sent around or joined."""
+    monkeypatch.setattr(scans, "BROADCAST_WORDS", bound)
     meta = "struct<folder:string,doc_type:string,source:string>"
-    rows = [(i, SCAN.replace("17", str(17 + i)), ("f", "PDF", None)) for i in range(12)] + [(50, None, ("f", "PDF", None)), (51, "", ("f", "PDF", None)), (52, "man " * 3000, ("f", "PDF", None)), (53, SCAN, ("f", "HTML", None)), (54, "x" * 100_000 + "\n" + "m" * 5000, None)]
+    rows = [(i, SCAN.replace("17", str(17 + i)), ("f", "PDF", None)) for i in range(12)] + [(50, None, ("f", "PDF", None)), (51, "", ("f", "PDF", None)), (52, "man " * 3000, ("f", "PDF", None)), (53, SCAN, ("f", "HTML", None)), (54, "x" * 100_000 + "\n" + "m" * 5000, None), (55, "man sieht " * 200, ("f", "PDF", None))]
     df = spark.createDataFrame(rows + rows[:3], f"chunk_id bigint, text string, metadata {meta}")
     got = scans.scan_defects(df).collect()
     assert {(r["line_no"], r["kind"]) for r in got if r["chunk_id"] == 3} >= {(1, "header"), (4, "hyphen"), (7, "hyphen"), (8, "char"), (9, "page_no"), (10, "header"), (11, "char")}
     assert {r["chunk_id"] for r in got} == set(range(12)) and len(got) == len(set(map(tuple, got)))
     assert scans.scan_defects(df.where("false")).count() == 0
+    texts = {r["chunk_id"]: r["text"] for r in scans.repaired_texts(df).collect()}
+    assert set(texts) == set(range(12)) and "Jahreszeit und Angebot" in texts[3]
 
 
 Q = "Wie viel Eisen brauche ich mit 40 Jahren, wenn ich kaum Linsen esse?"
