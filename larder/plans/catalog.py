@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larder.plans import answers, documents, matching, quantities
+from larder.plans import answers, documents, matching, pipeline, quantities
 
-MODULES = (documents, answers, matching, quantities)
+MODULES = (documents, answers, matching, pipeline, quantities)
 
 
 def runs() -> dict:
