@@ -32,7 +32,7 @@ def strip(c: Column | str) -> Column:
 
 def collapse_space(c: Column | str) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return strip(F.regexp_replace(_col(c), rf"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(_col(c), rf"[{SPACE}]+", " "))
 
 
 def lines(c: Column | str) -> Column:

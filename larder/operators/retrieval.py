@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.session import cut_lineage
 
@@ -19,18 +20,24 @@ QUERY_BYTES = 32 << 20
 
 
 def hash_embedding(text: Column | str, width: int = 64) -> Column:
-    """A deterministic embedding: signed counts of hashed words, scaled to length 1, all inside the JVM.
+    """A deterministic embedding: signed counts of hashed words, scaled to length 1.
 
-    Null and wordless texts give a zero vector.
+    Words and hashes are made in the JVM, the vectors of a whole Arrow batch at once. Null and wordless texts give a zero
+    vector.
     """
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    bucket = lambda h: F.pmod(h, F.lit(width)).cast("int")
-    sign = lambda h: F.when(F.shiftright(h, 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
-    zero = F.array_repeat(F.lit(0.0), width)
-    counted = F.aggregate(hashes, zero, lambda acc, h: F.transform(acc, lambda x, i: F.when(i == bucket(h), x + sign(h)).otherwise(x)))
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(F.array(counted), lambda v: F.transform(v, lambda x: F.coalesce(F.try_divide(x, length(v)), F.lit(0.0))))[0]
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def vectors(hashes: pa.Array) -> pa.Array:
+        n = len(hashes)
+        flat = hashes.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(n), np.diff(hashes.offsets.to_numpy()))
+        counts = np.bincount(owner * width + flat % width, weights=np.where(flat >> 40 & 1, 1.0, -1.0), minlength=n * width).reshape(n, width).astype(float)
+        length = np.linalg.norm(counts, axis=1, keepdims=True)
+        made = np.divide(counts, length, out=np.zeros(counts.shape), where=length > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(made.reshape(-1)))
+
+    return vectors(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, metric: str = "l2", query_bytes: int = QUERY_BYTES) -> DataFrame:
