@@ -9,7 +9,7 @@ from larder.functions.text import numbers
 from larder.operators import evaluation, generation, retrieval
 from larder.plans.registry import Registry
 from larder.sources import json_io, vectors
-from larder.sources.tables import first_delivery, table
+from larder.sources.tables import delivered, table
 
 registry = Registry()
 
@@ -34,8 +34,8 @@ QUESTIONS = (
 )
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_delivery(table(spark, sf_dir, "rag_results"), "query_id").select("query_id", "query", "answer", "contexts")
+def results(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return delivered(spark, sf_dir, "rag_results", "query_id", *(columns or ("query", "answer", "contexts")))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +90,7 @@ _PROMPT = """SELECT query_id, concat('Du beantwortest Ernährungsfragen auf der
 
 @registry.add("build_prompt", f"WITH {RESULTS} {_PROMPT}")
 def build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir).select("query_id", retrieval.prompt("query", "contexts").alias("prompt"))
+    return results(spark, sf_dir, "query", "contexts").select("query_id", retrieval.prompt("query", "contexts").alias("prompt"))
 
 
 @registry.add("inline_queries", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS)) + ") t(query_id, query)")
@@ -125,7 +125,7 @@ def parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers read back out of a service's JSON, every seventh without its field."""
     key = F.when(F.col("query_id") % 7 == 0, F.lit(None)).otherwise(F.col("answer"))
     raw = F.to_json(F.struct(F.lit("m").alias("model"), key.alias("response")))
-    return results(spark, sf_dir).select("query_id", generation.parsed_response(raw).alias("answer"))
+    return results(spark, sf_dir, "answer").select("query_id", generation.parsed_response(raw).alias("answer"))
 
 
 @registry.add("batch_assign", f"""WITH {RESULTS}, p AS (SELECT query_id, row_number() OVER (ORDER BY query_id) AS position, count(*) OVER () AS total FROM results)
@@ -148,37 +148,37 @@ def progress_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("query_preview", f"WITH {RESULTS} SELECT query_id, left(query, 60) AS preview FROM results")
 def query_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir).select("query_id", F.left("query", F.lit(60)).alias("preview"))
+    return results(spark, sf_dir, "query").select("query_id", F.left("query", F.lit(60)).alias("preview"))
 
 
 @registry.add("rag_results", f"""WITH {RESULTS}, p AS ({_PROMPT}) SELECT p.query_id, r.query, coalesce(r.query, '') || ' [' || length(p.prompt) || ']' AS answer, coalesce(len(r.contexts), 0)::BIGINT AS n_contexts FROM p JOIN results r ON r.query_id = p.query_id""")
 def rag_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query, generated answer and contexts of every query, with the stand-in generator."""
-    asked = results(spark, sf_dir)
+    asked = results(spark, sf_dir, "query", "contexts")
     answers = generation.generate(asked.select("query_id", retrieval.prompt("query", "contexts").alias("prompt")))
-    return asked.drop("answer").join(answers, "query_id").select("query_id", "query", "answer", F.coalesce(F.size("contexts"), F.lit(0)).cast("bigint").alias("n_contexts"))
+    return asked.join(answers, "query_id").select("query_id", "query", "answer", F.coalesce(F.size("contexts"), F.lit(0)).cast("bigint").alias("n_contexts"))
 
 
 @registry.add("extract_numbers", rf"""WITH {RESULTS} SELECT query_id, i::BIGINT AS position, TRY_CAST(x AS HUGEINT)::VARCHAR AS number FROM (
   SELECT query_id, unnest({DIGITS}) AS x, generate_subscripts({DIGITS}, 1) AS i FROM results WHERE answer IS NOT NULL)""")
 def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = results(spark, sf_dir).select("query_id", F.posexplode(numbers("answer")).alias("p", "n"))
+    found = results(spark, sf_dir, "answer").select("query_id", F.posexplode(numbers("answer")).alias("p", "n"))
     return found.select("query_id", (F.col("p") + 1).cast("bigint").alias("position"), F.col("n").cast("string").alias("number"))
 
 
 @registry.add("numerical_correctness", f"WITH {RESULTS} SELECT query_id, {CORRECT} AS score FROM results")
 def numerical_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir).select("query_id", evaluation.numerical_correctness("answer").alias("score"))
+    return results(spark, sf_dir, "answer").select("query_id", evaluation.numerical_correctness("answer").alias("score"))
 
 
 @registry.add("unsupported_precision", f"WITH {RESULTS} SELECT query_id, {UNSUPPORTED} AS score FROM results")
 def unsupported_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir).select("query_id", evaluation.unsupported_precision("answer", "contexts").alias("score"))
+    return results(spark, sf_dir, "answer", "contexts").select("query_id", evaluation.unsupported_precision("answer", "contexts").alias("score"))
 
 
 @registry.add("custom_scores", f"WITH {RESULTS} SELECT query_id, {CORRECT} AS numerical_correctness, {UNSUPPORTED} AS unsupported_precision FROM results")
 def custom_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir).select("query_id", evaluation.rule_scores().alias("s")).select("query_id", "s.*")
+    return results(spark, sf_dir, "answer", "contexts").select("query_id", evaluation.rule_scores().alias("s")).select("query_id", "s.*")
 
 
 @registry.add("evaluate_results", f"WITH {RESULTS} SELECT query_id, query, answer, array_to_string(contexts, chr(10)) AS contexts, {CORRECT} AS numerical_correctness, {UNSUPPORTED} AS unsupported_precision FROM results")
@@ -194,7 +194,7 @@ _VERDICTS = "list_transform(regexp_extract_all(coalesce(answer, ''), '[^.!?]+[.!
 def faithfulness_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of supported statements; the stand-in verdict of a sentence is whether it states a number."""
     verdicts = F.transform(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit("[^.!?]+[.!?]"), F.lit(0)), lambda x: x.rlike("[0-9]"))
-    return results(spark, sf_dir).select("query_id", F.round(evaluation.supported_share(verdicts), 9).alias("faithfulness"))
+    return results(spark, sf_dir, "answer").select("query_id", F.round(evaluation.supported_share(verdicts), 9).alias("faithfulness"))
 
 
 @registry.add("answer_relevancy_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS relevancy FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -213,7 +213,7 @@ def nan_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("json_reply_default", f"""WITH {RESULTS} SELECT query_id, CASE WHEN answer IS NULL OR answer = '' THEN '{{}}' ELSE answer END AS reply_a, CASE WHEN answer IS NULL OR trim(answer) = '' THEN '{{"claims": []}}' ELSE answer END AS reply_b FROM results""")
 def json_reply_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir).select("query_id", generation.reply_or("answer").alias("reply_a"), generation.reply_or("answer", '{"claims": []}', blank=True).alias("reply_b"))
+    return results(spark, sf_dir, "answer").select("query_id", generation.reply_or("answer").alias("reply_a"), generation.reply_or("answer", '{"claims": []}', blank=True).alias("reply_b"))
 
 
 @registry.add("judge_stub")
@@ -238,5 +238,5 @@ def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("evaluated_roundtrip", f"WITH {RESULTS} SELECT query_id, answer, {CORRECT} AS numerical_correctness, {UNSUPPORTED} AS unsupported_precision FROM results")
 def evaluated_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = json_io.scratch_path(spark, "evaluated")
-    json_io.write_lines(evaluation.evaluated(results(spark, sf_dir)), path)
+    json_io.write_lines(evaluation.evaluated(results(spark, sf_dir, "query", "answer", "contexts")), path)
     return json_io.read_lines(spark, path, json_io.EVALUATED).select("query_id", "answer", "custom_scores.*")

@@ -10,7 +10,7 @@ from larder.functions.page import page_text
 from larder.operators import chunking, cleaning
 from larder.plans.registry import Registry
 from larder.sources import files, json_io
-from larder.sources.tables import first_delivery, table
+from larder.sources.tables import delivered, table
 
 registry = Registry()
 
@@ -33,12 +33,12 @@ def sql_collapse(x: str) -> str:
 SQL_LINES = r"regexp_split_to_array(text, '\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_delivery(table(spark, sf_dir, "all_chunks"), "chunk_id")
+def chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return delivered(spark, sf_dir, "all_chunks", "chunk_id", *columns)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).select("doc_id", F.col("chunk_no").alias("page_no"), "text")
+    return chunks(spark, sf_dir, "doc_id", "chunk_no", "text").select("doc_id", F.col("chunk_no").alias("page_no"), "text")
 
 
 def _dirty(column: str = "text"):
@@ -93,7 +93,7 @@ def basic_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("filter_low_content", rf"""WITH {CHUNKS}, p AS (SELECT chunk_id, text, {sql_strip('text')} AS s FROM chunks)
 SELECT chunk_id FROM p WHERE length(s) > 0 AND length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) >= 0.5 * length(s)""")
 def filter_low_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.drop_poor_pages(chunks(spark, sf_dir)).select("chunk_id")
+    return cleaning.drop_poor_pages(chunks(spark, sf_dir, "text")).select("chunk_id")
 
 
 _KEPT_LINES = f"""split AS (SELECT doc_id, chunk_no AS page_no, unnest({SQL_LINES}) AS raw, generate_subscripts({SQL_LINES}, 1) AS line_no FROM chunks WHERE text IS NOT NULL),
@@ -116,7 +116,7 @@ def remove_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("pdf_clean_pipeline")
 def pdf_clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as one cleaned text; a document whose pages all go has no row."""
-    pdf = chunks(spark, sf_dir).where("metadata.doc_type = 'PDF'").select("doc_id", F.col("chunk_no").alias("page_no"), "text")
+    pdf = chunks(spark, sf_dir, "doc_id", "chunk_no", "text", "metadata").where("metadata.doc_type = 'PDF'").select("doc_id", F.col("chunk_no").alias("page_no"), "text")
     return cleaning.clean_documents(pdf)
 
 
@@ -184,6 +184,6 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("chunks_json_roundtrip", f"WITH {CHUNKS} SELECT text, folder, doc_type, source, count(*) AS n FROM chunks GROUP BY ALL")
 def chunks_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = json_io.scratch_path(spark, "chunks")
-    json_io.write_lines(json_io.chunk_rows(chunks(spark, sf_dir)), path)
+    json_io.write_lines(json_io.chunk_rows(chunks(spark, sf_dir, "text", "metadata")), path)
     back = json_io.read_lines(spark, path, json_io.CHUNK)
     return back.select("text", "metadata.folder", "metadata.doc_type", "metadata.source").groupBy("text", "folder", "doc_type", "source").agg(F.count("*").alias("n"))

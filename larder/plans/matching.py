@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import guidelines
 from larder.plans.registry import Registry
-from larder.sources.tables import first_delivery, table
+from larder.sources.tables import delivered, table
 
 registry = Registry()
 
@@ -19,20 +19,20 @@ STATUS = """CASE WHEN {0} = {1} AND {0} IN ('target', 'range', 'adequate_intake'
 DAYS = "CASE timeframe WHEN 'per_day' THEN 1 WHEN 'per_week' THEN 7 WHEN 'per_month' THEN 30 END"
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_delivery(table(spark, sf_dir, "nutrient_recommendation"), "rec_id")
+def records(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return delivered(spark, sf_dir, "nutrient_recommendation", "rec_id", *columns)
 
 
 @registry.add("nutrient_vocab", f"WITH {RECORDS} SELECT rec_id, nutrient FROM records WHERE nutrient IN (SELECT nutrient_id FROM nutrient_alias)")
 def nutrient_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose nutrient is a canonical id."""
     ids = table(spark, sf_dir, "nutrient_alias").select(F.col("nutrient_id").alias("nutrient")).distinct()
-    return records(spark, sf_dir).select("rec_id", "nutrient").join(ids, "nutrient", "left_semi")
+    return records(spark, sf_dir, "nutrient").join(ids, "nutrient", "left_semi")
 
 
 @registry.add("nutrient_alias_exact", f"WITH {RECORDS}, a AS (SELECT alias, min(nutrient_id) AS nutrient_id FROM nutrient_alias GROUP BY alias) SELECT rec_id, r.nutrient, a.nutrient_id FROM records r LEFT JOIN a ON a.alias = r.nutrient")
 def nutrient_alias_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = guidelines.canonical_nutrient(records(spark, sf_dir).select("rec_id", "nutrient"), table(spark, sf_dir, "nutrient_alias"), fold=False)
+    found = guidelines.canonical_nutrient(records(spark, sf_dir, "nutrient"), table(spark, sf_dir, "nutrient_alias"), fold=False)
     return found.select("rec_id", "nutrient", "nutrient_id")
 
 
@@ -40,7 +40,7 @@ def nutrient_alias_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 i AS (SELECT DISTINCT nutrient_id FROM nutrient_alias)
 SELECT rec_id, r.nutrient, coalesce(a.nutrient_id, f.nutrient_id, i.nutrient_id) AS nutrient_id FROM records r LEFT JOIN a ON a.alias = r.nutrient LEFT JOIN f ON f.alias = lower(trim(r.nutrient)) LEFT JOIN i ON i.nutrient_id = lower(trim(r.nutrient))""")
 def nutrient_alias_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = guidelines.canonical_nutrient(records(spark, sf_dir).select("rec_id", "nutrient"), table(spark, sf_dir, "nutrient_alias"))
+    found = guidelines.canonical_nutrient(records(spark, sf_dir, "nutrient"), table(spark, sf_dir, "nutrient_alias"))
     return found.select("rec_id", "nutrient", "nutrient_id")
 
 
@@ -55,14 +55,14 @@ SELECT rec_id, round(CASE WHEN custom AND unit = target_unit THEN amount WHEN NO
 def normalize_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts in another unit, which the record id chooses."""
     target = F.when(F.col("rec_id") % 4 == 0, "g").when(F.col("rec_id") % 4 == 1, "µg").when(F.col("rec_id") % 4 == 2, "kJ").otherwise(F.col("unit"))
-    asked = records(spark, sf_dir).select("rec_id", "amount", "unit", target.alias("target_unit"))
+    asked = records(spark, sf_dir, "amount", "unit").select("rec_id", "amount", "unit", target.alias("target_unit"))
     done = guidelines.convert_amounts(asked, table(spark, sf_dir, "measure_unit"))
     return done.select("rec_id", F.round("converted", 9).alias("converted"), F.col("error").isNotNull().alias("failed"))
 
 
 @registry.add("normalize_to_daily", f"WITH {RECORDS} SELECT rec_id, round(amount / {DAYS}, 9) AS daily, {DAYS} IS NULL AS failed FROM records")
 def normalize_to_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = records(spark, sf_dir).select("rec_id", guidelines.daily("amount", "timeframe").alias("d"))
+    done = records(spark, sf_dir, "amount", "timeframe").select("rec_id", guidelines.daily("amount", "timeframe").alias("d"))
     return done.select("rec_id", F.round("d.amount", 9).alias("daily"), F.col("d.error").isNotNull().alias("failed"))
 
 
@@ -76,7 +76,7 @@ def compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Extracted records are those of the sources that are named so, guidelines those of the large collections."""
-    every = records(spark, sf_dir).where("nutrient is not null")
+    every = records(spark, sf_dir, "nutrient", "population_group", "recommendation_type", "source").where("nutrient is not null")
     return every.where(F.col("source").startswith("rag_output")), every.where(F.col("source").startswith("leitwerte"))
 
 

@@ -20,6 +20,11 @@ def bounded_rows(df: DataFrame, most: int = BROADCAST_ROWS) -> list | None:
     return rows if len(rows) <= most else None
 
 
+def delivered(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """``key`` and the given columns of a table, each key once; only these columns and the time of loading are read."""
+    return first_delivery(table(spark, sf_dir, name).select(key, "loaded_at", *columns), key).drop("loaded_at")
+
+
 def first_delivery(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
     """One row per ``key``: the one delivered first.
 
