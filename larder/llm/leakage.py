@@ -7,6 +7,7 @@ each hit is extended to the longest common run around it.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ _WORDS = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb\U000e0000-\U000e0fff]")
 _PLAIN = str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "ss", "ẞ": "ss"})
 _UNUSUAL = re.compile(r"[^\x00-\x7fäöüßÄÖÜẞ–„“”»«…°µ·•’‚‘]")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
 _TWO = re.compile(r"([aou])e")
 
 
@@ -37,6 +39,10 @@ def normal_words(text: str | None) -> list[str]:
     writing of umlauts and ß make no difference."""
     if not text:
         return []
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
     if _UNUSUAL.search(text):
         text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text).replace("ß", "ss").replace("ẞ", "ss"))
         text = "".join(c for c in text if not unicodedata.combining(c))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.staging import staged
+from larder.llm.staging import hash_sample, staged
 from larder.sources.tables import bounded_rows
 
 #: Texts that the model is fitted on, at most, and rounds of hard EM.
@@ -376,8 +376,9 @@ def misread_words(chunks: DataFrame) -> DataFrame:
     return good.groupBy("word").agg(F.max_by("right", F.struct("right_n", "right")).alias("right"))
 
 
-def recurring_lines(scans: DataFrame) -> set[str]:
-    """Folded short lines that recur on a share of all different scanned texts: a table of bounded size."""
+def recurring_lines(scans: DataFrame) -> tuple[set[str], int]:
+    """Folded short lines that recur on a share of all different scanned texts, a table of bounded size, and the number of
+    these texts."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -394,20 +395,20 @@ def recurring_lines(scans: DataFrame) -> set[str]:
     total = counts.where("key = ''").first()
     rows = counts.where("key <> ''").where(F.col("n") >= max(3, RECURS * (total["n"] if total else 0))).collect()
     counts.unpersist()
-    return {r["key"] for r in rows}
+    return {r["key"] for r in rows}, total["n"] if total else 0
 
 
-def fitted(scans: DataFrame, recurring: set[str]) -> LineModel:
-    """The line model, re-estimated on a sample of at most ``SAMPLE`` texts chosen by the hash of their ids."""
-    rows = scans.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).collect()
-    return LineModel().fit([classes(r["text"].split("\n"), recurring.__contains__) for r in rows if is_scan(r["text"])])
+def fitted(scans: DataFrame, recurring: set[str], texts: int) -> LineModel:
+    """The line model, re-estimated on a sample of at most ``SAMPLE`` texts chosen by their hash."""
+    rows = sorted({r["text"] for r in hash_sample(scans.select("text"), ["text"], texts, SAMPLE)})
+    return LineModel().fit([classes(text.split("\n"), recurring.__contains__) for text in rows if is_scan(text)])
 
 
 def _tools(chunks: DataFrame):
     """The scans, the fitted model with the recurring lines, the misread words as a table, and as a dict if they are few."""
     scans = scans_of(chunks)
-    recurring = recurring_lines(scans)
-    model = fitted(scans, recurring)
+    recurring, texts = recurring_lines(scans)
+    model = fitted(scans, recurring, texts)
     words = staged(misread_words(chunks))
     rows = bounded_rows(words, BROADCAST_WORDS)
     known = None if rows is None else {r["word"]: r["right"] for r in rows}

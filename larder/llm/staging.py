@@ -44,3 +44,10 @@ def may_hold(ids: DataFrame, column: str, bits: int = FILTER_BITS):
         return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
     return lambda c: held(F.pmod(F.xxhash64(c), F.lit(bits)))
+
+
+def hash_sample(df: DataFrame, keys: list[str], rows: int, most: int) -> list:
+    """At most ``most`` rows of ``df``, which has about ``rows``, chosen by a hash of their keys: the same rows in every run
+    and however the data is partitioned, and no more of them ever reach the driver."""
+    share = min(1.0, most / max(rows, 1))
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(share * (1 << 30))).limit(most).collect()
