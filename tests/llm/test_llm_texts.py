@@ -186,7 +186,7 @@ def leaks():
     return [
         (1, "Vorab: " + ITEM + " Ende.", True), (2, " ".join(words[3:13]), True), (3, " ".join(words[3:12]), False), (4, ITEM.upper().replace(" ", "\n  "), True),
         (5, "**" + " ** ".join(words) + "**", True), (6, ITEM.replace("ö", "oe").replace("ä", "ae").replace("ß", "ss"), True), (7, "­".join(ITEM), True),
-        (8, ITEM.replace("ö", "ö").replace("ä", "ä"), True), (9, " ".join(w if i % 9 else "anders" for i, w in enumerate(words)), False), (10, None, False), (11, "", False), (12, "wort " * 20_000 + ITEM, True),
+        (8, ITEM.replace("ö", "ö").replace("ä", "ä"), True), (9, " ".join(w if i % 9 else "anders" for i, w in enumerate(words)), False), (10, None, False), (11, "", False), (13, "<b>" + "</b> <i class='x'>".join(words) + "</i>", True), (14, ITEM.replace("ö", "&ouml;").replace(" ", "&nbsp;"), True), (12, "wort " * 20_000 + ITEM, True),
     ]
 
 
