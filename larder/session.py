@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +33,24 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once a session, wherever it was imported from."""
+    context = spark.sparkContext
+    if getattr(context, "_larder_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(context._temp_dir) / "larder.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._larder_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder (``spark.checkpoint.dir``); only where that is unset, as in tests, a local one."""
     context = spark.sparkContext
