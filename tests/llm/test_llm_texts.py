@@ -90,7 +90,7 @@ PAIRS = [
     (Q, None, "empty"), (Q, " ​\n", "empty"), (Q, "n/a", "empty"), (Q, "<p></p>", "empty"), (Q, "Antwort:", "empty"),
     (Q, "Server disconnected", "error"), (Q, '{"error": "model not loaded", "code": 502}', "error"), (Q, "Traceback (most recent call last): KeyError 'response'", "error"),
     (Q, "Dazu kann ich leider nichts sagen. Bitte wenden Sie sich an eine Fachkraft.", "refusal"), (Q, "Es tut mir leid, diese Frage kann ich nicht beantworten.", "refusal"),
-    (Q, Q, "copy"), (Q, Q.upper(), "copy"), (Q, f"Ihre Frage lautet: {Q}", "copy"), (Q, f"{Q} {Q}", "copy"),
+    (Q, Q, "copy"), (Q, Q.upper(), "copy"), (Q, f"Ihre Frage lautet: {Q}", "copy"), (Q, f"{Q} {Q}", "copy"), ("Hilft Süßes gegen Heißhunger?", "HILFT SÜSSES GEGEN HEISSHUNGER?", "copy"),
     (Q, "Lentils and beans supply about 12 g of iron per serving. A lack of iron often shows as fatigue.", "language"),
     (Q, "Mit 12 mg Eisen am Tag kommen Erwachsene meist gut aus, weil die", "truncated"), (Q, "Beachten Sie dabei folgende Punkte:", "truncated"), (Q, "Mit 12 mg kommen Sie aus.\n1. Linsen helfen dabei gut.\n2.", "truncated"),
     (Q, "Etwa 20 g.", None), (Q, "Ja, zweimal pro Woche.", None), (Q, f"Sie fragen: {Q} Mit 12 mg Eisen am Tag kommen Sie gut aus, und Linsen sind dafür nicht nötig.", None),
