@@ -106,3 +106,23 @@ def test_filter_loses_nothing(spark):
     assert passed >= set(range(0, 1000, 7)) and len(passed) < 700
     assert spark.range(10).where(may_hold(spark.range(0), "id")("id")).count() == 0
     assert staged(spark.range(5)).count() == 5
+
+
+def test_every_pair_at_the_bound(spark):
+    """Pairs just at and just below the share, of like and unlike sizes and with columns of every frequency: all and only those."""
+    chosen = random.Random(11)
+    words = [f"w{int(chosen.paretovariate(0.7))}" for _ in range(3000)]
+    rows = []
+    for size in (30, 60, 130, 260):
+        for _ in range(60):
+            base = [chosen.choice(words) for _ in range(size)]
+            rows.append(" ".join(base))
+            rows.append(" ".join(base[: int(size * chosen.uniform(0.57, 0.7))]))
+            copy = list(base)
+            for at in range(0, size, chosen.choice([9, 10, 11, 12, 13])):
+                copy[at] = f"x{chosen.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    sets = [sequences(t) for t in rows]
+    expected = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    got = {tuple(r) for r in neardup.found_pairs(spark.createDataFrame(list(enumerate(rows)), "chunk_id bigint, text string")).collect()}
+    assert len(expected) > 150 and got == expected
