@@ -126,3 +126,11 @@ def test_every_pair_at_the_bound(spark):
     expected = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
     got = {tuple(r) for r in neardup.found_pairs(spark.createDataFrame(list(enumerate(rows)), "chunk_id bigint, text string")).collect()}
     assert len(expected) > 150 and got == expected
+
+
+def test_short_copies(spark):
+    """A text of 14 words and its copies with words added, up to the longest that is still near."""
+    base = [f"k{i}" for i in range(14)]
+    rows = [" ".join(base)] + [" ".join(base + [f"m{n}x{i}" for i in range(n)]) for n in (1, 4, 8, 9)]
+    got = {tuple(r) for r in neardup.found_pairs(spark.createDataFrame(list(enumerate(rows)), "chunk_id bigint, text string")).collect()}
+    assert {(0, 1), (0, 2), (0, 3)} <= got and (0, 4) not in got
