@@ -189,15 +189,24 @@ def _may_follow_street(text: str, place: int) -> bool:
     return bool(words) and (words[-1].lower().endswith(_STREET_ENDS) or words[-1][0].isupper() and not _STREET_STARTS.isdisjoint(words))
 
 
+def _german(text: str):
+    """Addresses before house numbers, each sought behind the one found before it."""
+    at = 0
+    for h in _HOUSE_AT.finditer(text):
+        place = h.start()
+        if place < at or not _may_follow_street(text, place) or not _STREET_UP_TO.search(text, max(at, place - 60), place):
+            continue
+        m = _DE_ADDRESS.search(text, max(at, place - 60), min(len(text), h.end() + 80))
+        while m is not None:
+            yield m
+            at = m.end()
+            m = _DE_ADDRESS.search(text, max(at, place - 60), min(len(text), h.end() + 80)) if at <= place else None
+
+
 def _addresses(text: str):
-    german = (_DE_ADDRESS.search(text, max(0, h.start() - 60), min(len(text), h.end() + 80)) for h in _HOUSE_AT.finditer(text) if _may_follow_street(text, h.start()) and _STREET_UP_TO.search(text, max(0, h.start() - 60), h.start()))
     english = _EN_ADDRESS.finditer(text) if any(x in text for x in _EN_STREETS) else ()
-    at = -1
-    for pattern, found in ((_DE_ADDRESS, german), (_EN_ADDRESS, english)):
+    for pattern, found in ((_DE_ADDRESS, _german(text)), (_EN_ADDRESS, english)):
         for m in found:
-            if m is None or m.start() <= at and pattern is _DE_ADDRESS:
-                continue
-            at = m.start()
             before, behind = text[max(0, m.start() - 45) : m.start()], text[m.end() : m.end() + 25]
             suffixed = pattern is _EN_ADDRESS or bool(re.search(_STREET_END + "$", m["street"], re.I))
             placed = m["place"] is not None

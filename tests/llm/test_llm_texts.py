@@ -239,3 +239,10 @@ def test_details(spark):
     assert masked[50] == CLEAR and masked[51] is None and masked[52] == ""
     assert "Svea" not in masked[1] and "[NAME]" in masked[1] and masked[1].endswith(CLEAR) and "übernimmt die Kochgruppe." in masked[1]
     assert privacy.details(df.where("false")).count() == 0
+
+
+def test_neighbouring_addresses():
+    """A second address close behind another one, true or not, is proposed too."""
+    for first in ("Torfstraße 107 b", "Im Mai 3"):
+        text = f"Wohnhaft {first}\nAnschrift für den Versand: Kastanienallee 9\n23935 Nordhagen am See"
+        assert [text[s:e] for kind, s, e, _, _ in privacy.proposed(text) if kind == "address"] == [first, "Kastanienallee 9\n23935 Nordhagen am See"]
