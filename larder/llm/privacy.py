@@ -154,15 +154,22 @@ def _phones(text: str):
         ), ()
 
 
-_ID_PARTS = ("teuer", "Nr", "nr.", "nummer", "SSN", "NI n", "National Ins", "assport", "eisepass", "usweis", "ocial Sec", "NHS", "tax", "Tax", "ID ", "PASS", "Pass")
+#: What every well-formed number holds from its first digit on, and every labelled one from its own; each alternative of the
+#: label holds one of the parts, in any case.
+_MAY_ID = re.compile(r"\d[\dA-Z\s-]{7}")
+_MAY_LABELLED = re.compile(r"\d(?:[A-Z/-]*\d){4}", re.I)
+_LABEL_PARTS = ("steuer", "idnr", "sv-nr", "rv-nr", "kv-nr", "versicher", "ausweis", "pass", "ssn", "social security", "ni n", "national insurance", "nhs", "tax", "id card")
+
+
+def _labelled_places(text: str) -> list[int]:
+    places = [h.start() for h in _MAY_LABELLED.finditer(text)]
+    folded = text.casefold() if places else ""
+    return places if any(part in folded for part in _LABEL_PARTS) else []
 
 
 def _ids(text: str):
-    places = sorted(p for part in _ID_PARTS for p in _places(text, part))
-    if not places:
-        return
     seen = set()
-    for m in _within(_ID, text, places, 70, 110):
+    for m in _within(_ID, text, [h.start() for h in _MAY_ID.finditer(text)], 3, 30):
         seen.add(m.start())
         before, behind = text[max(0, m.start() - 50) : m.start()], text[m.end() : m.end() + 45]
         labelled, named = bool(_ID_BEFORE.search(before)), bool(_ID_BEHIND.search(behind))
@@ -173,7 +180,7 @@ def _ids(text: str):
             _vote(bool(re.search(r"[A-Z]", m.group())) or "-" in m.group()),
             _vote(labelled or named, not (labelled or named)),
         ), ()
-    for m in _within(_ID_LABELLED, text, places, 30, 110):
+    for m in _within(_ID_LABELLED, text, _labelled_places(text), 200, 40):
         if m.start("n") not in seen and not any(m.start("n") <= s < m.end("n") for s in seen):
             behind = text[m.end("n") : m.end("n") + 45]
             yield m.start("n"), m.end("n"), (0, 1, _vote(bool(_ID_BEHIND.search(behind))), _vote(bool(re.search(r"[A-Z]", m["n"]))), 1), ()

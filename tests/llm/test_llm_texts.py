@@ -246,3 +246,10 @@ def test_neighbouring_addresses():
     for first in ("Torfstraße 107 b", "Im Mai 3"):
         text = f"Wohnhaft {first}\nAnschrift für den Versand: Kastanienallee 9\n23935 Nordhagen am See"
         assert [text[s:e] for kind, s, e, _, _ in privacy.proposed(text) if kind == "address"] == [first, "Kastanienallee 9\n23935 Nordhagen am See"]
+
+
+def test_labels_in_any_case():
+    """Numbers behind labels in any case, and well-formed ones without a label, are proposed."""
+    for label, number in (("social security number", "123-45-6789"), ("national insurance number", "QQ 12 34 56 C"), ("id card no.", "T22000129"), ("NI No.", "AB123456C"), ("STEUERNUMMER:", "133/8150/8159"), ("SVNR. und", "65 170839 J 003"), ("", "28 976 019 084")):
+        text = f"Das ist alles, was wir haben: {label} {number}, sonst nichts."
+        assert number in [text[s:e] for kind, s, e, _, _ in privacy.proposed(text) if kind == "id_number"], label
