@@ -23,12 +23,10 @@ from larder.llm.words import mix
 #: Share of a host's pages (and least pages) on which a path must occur to win there; share of all pages and
 #: least hosts; a path that wins on that many hosts wins on all.
 HOST_SHARE, HOST_PAGES, ALL_SHARE, ALL_HOSTS = 0.11, 3, 0.016, 3
-#: Most links under a label of a list of links.
-LINKS = 3
+#: The same share for list items: those of main bodies recur too, as an ingredient does, so most pages must show one.
+ITEM_SHARE = 0.5
 #: Winning paths that may be sent to every task (in a hash table); more are joined to the pages by host.
 BROADCAST_PATHS = 300_000
-#: Longest line, in characters, that can be furniture by its own path.
-LONGEST_PATH = 220
 
 _ROW = re.compile(r"\s+(?:[>›»|·•/→])\s+|\s{2,}|\t")
 _END = re.compile(r"[.!?…][\"”“’»)\]]*$")
@@ -36,15 +34,18 @@ _ITEM = re.compile(r"^(?:[-•*–]\s*)?\d+(?:[.,]\d+)?\s*(?:g|mg|µg|kg|ml|cl|d
 _BULLET = re.compile(r"^[-•*–]\s")
 _DIGITS = re.compile(r"\d+")
 _RIGHTS = re.compile(r"©|^copyright\b|\ball rights reserved\b|\balle rechte vorbehalten\b", re.I)
+#: Put before the text of list items.
+_MARK = "\0"
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
 def path_key(text: str) -> int:
-    """A stable 64-bit number of a generalised line."""
+    """A stable 64-bit number of a generalised line; numbers stay in one that is marked as a list item."""
     import zlib
 
-    data = _DIGITS.sub("#", " ".join(text.lower().split())).encode("utf-8", "surrogatepass")
+    level = " ".join(text.lower().split())
+    data = (level if level.startswith(_MARK) else _DIGITS.sub("#", level)).encode("utf-8", "surrogatepass")
     return (zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)) & _MASK
 
 
@@ -62,6 +63,11 @@ def kind_of(line: str) -> str:
     return "s" if len(text) > 110 else "t"
 
 
+def _linked(text: str) -> bool:
+    """Whether a line may be a bulleted link, which an item of a recipe is not."""
+    return bool(_BULLET.match(text)) and not _ITEM.match(text)
+
+
 class _Keys(dict):
     def __missing__(self, text: str) -> int:
         value = self[text] = path_key(text)
@@ -88,54 +94,55 @@ class Reader:
             out.append((line.strip(), kind))
         return out
 
+    def _key(self, line: str, kind: str) -> int:
+        return self.keys[_MARK + line if kind == "i" else line]
+
     def votes(self, text: str) -> dict[int, int]:
-        """Path to what the page says of it: 1 content came before, 2 a title-like line follows; none for long lines."""
+        """Path to what the page says of it: 1 content came before, 2 a title-like line follows, 4 it is a list item."""
         lines = self.lines(text)
         before, out = False, {}
         for i, (line, kind) in enumerate(lines):
             if kind == "b":
                 continue
-            if len(line) <= LONGEST_PATH and kind != "i":
-                follows = i + 1 < len(lines) and lines[i + 1][1] == "t"
-                key = self.keys[line]
-                out[key] = out.get(key, 0) | before | 2 * follows
-                if kind == "r":
-                    for part in _ROW.split(line):
-                        if part:
-                            out.setdefault(self.keys[part], 0)
+            follows = i + 1 < len(lines) and (lines[i + 1][1] == "t" or _linked(lines[i + 1][0]))
+            key = self._key(line, kind)
+            out[key] = out.get(key, 0) | before | 2 * follows | 4 * (kind == "i")
+            if kind == "r":
+                for part in _ROW.split(line):
+                    if part:
+                        out.setdefault(self.keys[part], 0)
             before = before or kind in "si" and len(line) > 60
         return out
 
     def furniture(self, text: str, won, opens) -> list[int]:
         """Numbers (from 1) of the non-blank lines that are no main content, given tests for winning paths and labels."""
         lines = self.lines(text)
-        out, before, links = [], False, 0
+        out, before, links = [], False, False
         wrapped = {n for n in range(2, len(lines) + 1) if self._wrapped(lines[n - 2], lines[n - 1], won)}
         for i, (line, kind) in enumerate(lines, 1):
             if kind == "b":
-                links = 0
+                links = False
                 continue
-            key = self.keys[line] if len(line) <= LONGEST_PATH and kind != "i" else None
+            key = self._key(line, kind)
             if i in wrapped or i + 1 in wrapped:
-                links = 0
+                links = False
                 out.append(i)
-            elif key is not None and (won(key) or _RIGHTS.search(line)):
-                links = LINKS if before and opens(key) else 0
+            elif won(key) or _RIGHTS.search(line):
+                links = before and opens(key)
                 out.append(i)
             elif kind == "r" and self._row(line, won) or kind in "tr" and self._joined(line, won):
-                links = 0
+                links = False
                 out.append(i)
-            elif links and kind in "t":
-                links -= 1
+            elif links and (kind == "t" or _linked(line)):
                 out.append(i)
             else:
-                links = 0
+                links = False
                 before = before or kind in "si"
         return out
 
     def _wrapped(self, above: tuple[str, str], below: tuple[str, str], won) -> bool:
         """Whether two lines are one winning path that was wrapped."""
-        if not above[0] or not below[0][:1].islower() or len(above[0]) + len(below[0]) > LONGEST_PATH:
+        if not above[0] or not below[0][:1].islower():
             return False
         return won(self.keys[f"{above[0]} {below[0]}"])
 
@@ -157,18 +164,19 @@ class Reader:
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``host, key, pages, after, opening``, summed over each batch."""
+    """Rows ``host, key, pages, after, opening, item``, summed over each batch."""
     reader = Reader()
     for batch in batches:
         seen: dict[tuple[int, int], list[int]] = {}
         for text, host in zip(batch.column("text").to_pylist(), batch.column("host").to_pylist()):
             for key, flags in reader.votes(text).items():
-                row = seen.setdefault((host, key), [0, 0, 0])
+                row = seen.setdefault((host, key), [0, 0, 0, 0])
                 row[0] += 1
                 row[1] += flags & 1
-                row[2] += flags >> 1
-        columns = list(zip(*[(h, k if k < 1 << 63 else k - (1 << 64), *v) for (h, k), v in seen.items()])) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["host", "key", "pages", "after", "opening"])
+                row[2] += flags >> 1 & 1
+                row[3] += flags >> 2
+        columns = list(zip(*[(h, k if k < 1 << 63 else k - (1 << 64), *v) for (h, k), v in seen.items()])) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["host", "key", "pages", "after", "opening", "item"])
 
 
 def pages_of(chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -186,13 +194,13 @@ def pages_of(chunks: DataFrame, files: DataFrame) -> DataFrame:
 def winning_paths(pages: DataFrame) -> DataFrame:
     """``host, key, opens`` of the paths that win on a host. A host is never gathered: votes are summed in each batch, then
     by host and path, and shares come from small tables of pages per host and of paths that many hosts show."""
-    votes = pages.mapInArrow(_voted, "host bigint, key bigint, pages bigint, after bigint, opening bigint")
-    by_path = votes.groupBy("host", "key").agg(*[F.sum(c).alias(c) for c in ("pages", "after", "opening")])
+    votes = pages.mapInArrow(_voted, "host bigint, key bigint, pages bigint, after bigint, opening bigint, item bigint")
+    by_path = votes.groupBy("host", "key").agg(*[F.sum(c).alias(c) for c in ("pages", "after", "opening")], F.max("item").alias("item"))
     hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     total = hosts.agg(F.sum("host_pages").alias("n")).first()["n"] or 0
-    local = (F.col("pages") >= HOST_PAGES) & (F.col("pages") >= HOST_SHARE * F.col("host_pages"))
-    everywhere = by_path.join(hosts, "host").groupBy("key").agg(F.sum("pages").alias("all_pages"), F.count("*").alias("hosts"), F.count_if(local).alias("wins"), F.sum("after").alias("all_after"), F.sum("opening").alias("all_opening"))
-    recurs = (F.col("all_pages") >= ALL_SHARE * F.lit(total)) & (F.col("hosts") >= ALL_HOSTS)
+    local = (F.col("pages") >= HOST_PAGES) & (F.col("pages") >= F.when(F.col("item") > 0, ITEM_SHARE).otherwise(HOST_SHARE) * F.col("host_pages"))
+    everywhere = by_path.join(hosts, "host").groupBy("key").agg(F.sum("pages").alias("all_pages"), F.count("*").alias("hosts"), F.count_if(local).alias("wins"), F.sum("after").alias("all_after"), F.sum("opening").alias("all_opening"), F.max("item").alias("all_item"))
+    recurs = (F.col("all_pages") >= ALL_SHARE * F.lit(total)) & (F.col("hosts") >= ALL_HOSTS) & (F.col("all_item") == 0)
     common = everywhere.where(recurs | (F.col("wins") >= ALL_HOSTS))
     scored = by_path.join(hosts, "host").join(common, "key", "left")
     n, after, opening = (F.coalesce(a, b) for a, b in (("all_pages", "pages"), ("all_after", "after"), ("all_opening", "opening")))

@@ -253,3 +253,18 @@ def test_labels_in_any_case():
     for label, number in (("social security number", "123-45-6789"), ("national insurance number", "QQ 12 34 56 C"), ("id card no.", "T22000129"), ("NI No.", "AB123456C"), ("STEUERNUMMER:", "133/8150/8159"), ("SVNR. und", "65 170839 J 003"), ("", "28 976 019 084")):
         text = f"Das ist alles, was wir haben: {label} {number}, sonst nichts."
         assert number in [text[s:e] for kind, s, e, _, _ in privacy.proposed(text) if kind == "id_number"], label
+
+
+def test_long_furniture(spark):
+    """Lists of links of any length, bulleted or not, and long or bulleted lines that recur on a host."""
+    chosen = random.Random(4)
+    notice = "Wir verwenden Cookies und ähnliche Techniken, " + "um Inhalte anzuzeigen und Zugriffe auszuwerten, " * 5 + "Details stehen im Hinweis."
+    rows, expected = [], set()
+    for host in ("kornhaus", "salzfass", "ofenbank", "brotkorb"):
+        for n in range(20):
+            links = [("- " if n % 2 else "") + own(chosen)[14:40].title() for _ in range(7)]
+            lines = ["- Start", "- Rezepte", own(chosen), f"- {n + 3} g Linsen", own(chosen), "Mehr zum Thema", *links, "", own(chosen), notice]
+            expected |= {(len(rows), i) for i in [1, 2, *range(6, 14), 16]}
+            rows.append((len(rows), "\n".join(lines), host))
+    df = spark.createDataFrame(rows, "chunk_id bigint, text string, name string").selectExpr("chunk_id", "text", "xxhash64(name) AS host")
+    assert {tuple(r) for r in boilerplate.furniture_lines(df).collect()} == expected
