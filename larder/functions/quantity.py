@@ -5,7 +5,8 @@ A unit is an exponent vector over base dimensions together with an affine map to
 no mass and ``mg/d`` has mass 1 and time -1. Time is counted in days.
 
     text      := item*
-    item      := number | multiplier | ("/" | per-word) [number] unit | unit ["^" number] | frequency | every-phrase
+    item      := number [power] | multiplier | ("/" | per-word) [number] unit | unit [power] | frequency | every-phrase
+    power     := "^" ["-"] digits
     frequency := number ("x" | "mal" | "times") | "zweimal" | "twice"
     every     := ("alle" | "every" | "jeden") [number | ordinal | "other"] span
 """
@@ -72,6 +73,9 @@ MULTIPLIERS = {"tsd": 1000, "tausend": 1000, "thousand": 1000, "hundert": 100, "
 SUPERSCRIPTS = {"⁰": "^0", "¹": "^1", "²": "^2", "³": "^3", "⁴": "^4", "⁵": "^5", "⁶": "^6", "⁷": "^7", "⁸": "^8", "⁹": "^9", "⁻": "^-"}
 TEMPERATURES = {"°c": (Fraction(1), Fraction(27315, 100)), "°f": (Fraction(5, 9), Fraction(45967, 180)), "kelvin": (Fraction(1), Fraction(0))}
 
+#: Longest number that is read, in characters, and largest exponent; beyond them a text is not understood.
+LONGEST_NUMBER, MOST_POWER = 40, 99
+
 _SPAN_DAYS = {word: Fraction(days) for days, words in SPANS.items() for word in words.split()} | {w: Fraction(n, 24) for w, n in HOURS.items()}
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|°[cf]\b|[^\W\d_]+(?:\.[^\W\d_]+)*\.?|[/*×·%^()-]")
 
@@ -153,7 +157,7 @@ def number(text: str) -> Fraction:
 def _tokens(text: str) -> list[str]:
     for sign, plain in SUPERSCRIPTS.items():
         text = text.replace(sign, plain)
-    text = unicodedata.normalize("NFKC", text).lower().replace("_", " ").replace("ug", "ug").replace("µ", "μ")
+    text = unicodedata.normalize("NFKC", text).lower().replace("_", " ").replace("µ", "μ")
     found = []
     for token in _TOKEN.findall(text):
         word = token.strip(".") if token[0].isalpha() else token
@@ -169,13 +173,28 @@ def _tokens(text: str) -> list[str]:
     return found
 
 
+def _exponent(tokens: list[str], i: int) -> tuple[int | None, int]:
+    """The exponent that starts at token ``i``, which is ``^``, None if it is no small whole number, and the next token."""
+    sign, i = 1, i + 1
+    while i < len(tokens) and tokens[i] in ("-", "^"):
+        sign, i = -sign if tokens[i] == "-" else sign, i + 1
+    if i == len(tokens) or not tokens[i].isdecimal():
+        return None, i
+    digits = tokens[i].lstrip("0") or "0"
+    return (sign * int(digits) if len(digits) <= len(str(MOST_POWER)) else None), i + 1
+
+
 def read(text: str | None, lexicon: Lexicon) -> Reading:
-    """Parse one field. Null and blank text state nothing, and that is understood."""
+    """Parse one field. Null and blank text state nothing, and that is understood. An exponent binds to the unit or number
+    just before it; one that binds to nothing, zero to no positive power, and numbers or powers beyond the bounds above are
+    not understood."""
     out = Reading()
     if text is None or not text.strip():
         return out
     tokens = _tokens(text)
-    unit, count, days, i, power, last = Unit(), Fraction(1), None, 0, 1, None
+    unit, count, days, i, power = Unit(), Fraction(1), None, 0, 1
+    # what an exponent would bind to: a number, or a unit with what stood before it and its sign
+    bound: tuple[Unit, Unit, int] | Fraction | None = None
 
     def give_span(value: Fraction) -> None:
         nonlocal days
@@ -184,7 +203,18 @@ def read(text: str | None, lexicon: Lexicon) -> Reading:
             out.understood = False
 
     while i < len(tokens):
-        token = tokens[i]
+        token, binds = tokens[i], bound
+        bound = None
+        if token == "^":
+            exponent, i = _exponent(tokens, i)
+            if exponent is None or binds is None:
+                out.understood = False
+            elif isinstance(binds, Fraction):
+                out.understood = out.understood and (binds != 0 or exponent > 0)
+                count = count * binds ** (exponent - 1) if binds else count
+            else:
+                unit = binds[0].times(binds[1], binds[2] * exponent)
+            continue
         pair = f"{token} {tokens[i + 1]}" if i + 1 < len(tokens) else ""
         if pair and lexicon.unit(pair):
             token, i = pair, i + 1
@@ -201,22 +231,23 @@ def read(text: str | None, lexicon: Lexicon) -> Reading:
                 i = j + 1
                 continue
         if token[0].isdigit() or token in NUMBER_WORDS and token not in PER:
+            if len(token) > LONGEST_NUMBER:
+                out.understood = False
+                break
             value = number(token) if token[0].isdigit() else Fraction(NUMBER_WORDS[token])
-            if last == "^":
-                count = count / previous * previous ** int(value) if value < 10 else count
-            elif power == -1:
+            if power == -1:
                 unit = Unit(unit.vector, unit.scale / value, unit.offset) if value else unit
                 if i + 1 < len(tokens) and tokens[i + 1] in _SPAN_DAYS and value:
                     unit = Unit(unit.vector, unit.scale * value, unit.offset)
                     give_span(value * _SPAN_DAYS[tokens[i + 1]])
                     i, power = i + 1, 1
             else:
-                count, previous = count * value, value
+                count, bound = count * value, value
         elif token in FREQUENCY:
             count *= FREQUENCY[token]
         elif token in MULTIPLIERS:
             count *= MULTIPLIERS[token]
-        elif token in TIMES or token in "*·()^-":
+        elif token in TIMES or token in "*·()-":
             pass
         elif token == "/" or (token in PER and token not in _SPAN_DAYS):
             power = -1 if token not in ("of", "the") else power
@@ -226,6 +257,7 @@ def read(text: str | None, lexicon: Lexicon) -> Reading:
         elif token in OCCASIONS:
             unit, power, out.has_unit = unit.times(base_unit("occasion"), power), 1, True
         elif lexicon.unit(token) is not None:
+            bound = unit, lexicon.unit(token), power
             unit, power, out.has_unit = unit.times(lexicon.unit(token), power), 1, True
         elif token in SHARES:
             unit, out.has_unit, power = unit.times(base_unit("share")), True, 1
@@ -233,7 +265,6 @@ def read(text: str | None, lexicon: Lexicon) -> Reading:
             unit, out.has_unit, power = unit.times(base_unit("count"), power), True, 1
         else:
             out.understood = False
-        last = tokens[i]
         i += 1
     out.unit, out.days = Unit(unit.vector, unit.scale * count, unit.offset), days
     if not out.has_unit:

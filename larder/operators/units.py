@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from larder.functions.quantity import Lexicon, daily_factor
 from larder.sources.tables import bounded_rows
 
+#: Fixed value: the reason of amounts that no bigint holds.
+OUT_OF_RANGE = "out of range"
 #: Most texts that a Python worker remembers; beyond it, it forgets all and parses again.
 REMEMBERED = 200_000
 
@@ -23,6 +26,16 @@ def lexicon_of(measure_unit: DataFrame) -> Lexicon:
     return Lexicon([tuple(r) for r in rows])
 
 
+def _as_doubles(dimension: str | None, factor: Fraction | None, reason: str | None) -> tuple:
+    """Dimension, numerator, denominator and reason; a factor beyond doubles is out of range."""
+    if factor is None:
+        return dimension, None, None, reason
+    try:
+        return dimension, float(factor.numerator), float(factor.denominator), reason
+    except OverflowError:
+        return None, None, None, OUT_OF_RANGE
+
+
 def daily_amounts(records: DataFrame, measure_unit: DataFrame, key: str = "rec_id") -> DataFrame:
     """``key, dimension, amount_base, reason`` of every record, once per key.
 
@@ -31,7 +44,8 @@ def daily_amounts(records: DataFrame, measure_unit: DataFrame, key: str = "rec_i
     four short columns and is combined before it; hot sources or units therefore cannot skew it.
 
     Defined results: a null or NaN amount has the reason ``no amount``; null or blank unit and timeframe state nothing, and
-    no span means a day; contradictory spans or units give a reason and no amount; amounts are rounded half up; records that
+    no span means a day; contradictory spans or units give a reason and no amount; amounts are rounded half up, in doubles,
+    and one that no bigint holds is ``out of range``; records that
     differ under one key give the smallest row; extra columns are ignored; an empty table gives an empty result.
     """
     lexicon = lexicon_of(measure_unit)
@@ -46,17 +60,17 @@ def daily_amounts(records: DataFrame, measure_unit: DataFrame, key: str = "rec_i
                 if got is None:
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    dimension, factor, reason = daily_factor(*pair, lexicon)
-                    got = known[pair] = (dimension, *((float(factor.numerator), float(factor.denominator)) if factor else (None, None)), reason)
+                    got = known[pair] = _as_doubles(*daily_factor(*pair, lexicon))
                 out.append(got)
             yield pd.DataFrame(out, columns=["dimension", "num", "den", "reason"])
 
     amount = F.when(F.isnan("amount") | (F.abs("amount") == float("inf")), None).otherwise(F.col("amount"))
     read = records.select(key, amount.alias("amount"), parsed("unit", "timeframe").alias("p"))
-    stated = F.col("p.reason").isNull() & F.col("amount").isNotNull()
-    return read.select(
+    base = F.when(F.col("p.reason").isNull(), F.round(F.col("amount") * F.col("p.num") / F.col("p.den")).try_cast("bigint"))
+    known = read.select(key, "amount", "p", base.alias("base"))
+    return known.select(
         key,
-        F.when(stated, F.col("p.dimension")).alias("dimension"),
-        F.when(stated, F.round(F.col("amount") * F.col("p.num") / F.col("p.den")).cast("bigint")).alias("amount_base"),
-        F.when(F.col("amount").isNull(), "no amount").otherwise(F.col("p.reason")).alias("reason"),
+        F.when(F.col("base").isNotNull(), F.col("p.dimension")).alias("dimension"),
+        F.col("base").alias("amount_base"),
+        F.when(F.col("amount").isNull(), "no amount").when(F.col("base").isNull(), F.coalesce("p.reason", F.lit(OUT_OF_RANGE))).alias("reason"),
     ).groupBy(key).agg(F.min(F.struct("dimension", "amount_base", "reason")).alias("r")).select(key, "r.*")

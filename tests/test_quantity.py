@@ -60,3 +60,24 @@ def test_daily_amounts(spark):
     assert out[2]["reason"] == out[3]["reason"] == "no amount" and out[2]["amount_base"] is None
     assert out[4]["amount_base"] == 3 and out[5]["reason"] == "no unit" and out[6]["amount_base"] is None
     assert daily_amounts(spark.createDataFrame([], schema), units).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("unit", "stated"),
+    [
+        ("mg²", None), ("kcal^2", None), ("g/m²", None), ("0^-2 mg", None), ("^2 mg", None), ("mg^", None), ("mg^999999999", None), ("9" * 5000 + " mg", None),
+        ("mg^1", ("mass", 1000)), ("10^2 mg", ("mass", 100_000)), ("10^-3 g", ("mass", 1000)), ("10⁻³ g", ("mass", 1000)), ("2 10^3 mg", ("mass", 2_000_000)), ("0^2 mg", ("mass", 0)), ("10^99 mg", ("mass", 10**102)), ("mg²/mg", ("mass", 1000)),
+    ],
+)
+def test_exponents(unit, stated):
+    dimension, factor, reason = daily_factor(unit, None, LEXICON)
+    assert (dimension, factor) == (stated or (None, None)) and (reason is None) == (stated is not None)
+
+
+def test_amounts_out_of_range(spark):
+    rows = [(1, 1e30, "g"), (2, 1.0, "10^99 mg"), (3, 1.0, " ".join(["10^99"] * 5) + " mg"), (4, 3.0, "mg²"), (5, 0.0, "10^99 mg"), (6, -1e30, "g"), (7, 2.0, "0^2 mg")]
+    units = spark.createDataFrame(UNITS, "unit string, dimension string, factor_to_base double")
+    records = spark.createDataFrame(rows, "rec_id bigint, amount double, unit string").selectExpr("*", "cast(null as string) AS timeframe")
+    out = {r["rec_id"]: r for r in daily_amounts(records, units).collect()}
+    assert [out[i]["reason"] for i in (1, 2, 3, 6)] == ["out of range"] * 4 and out[1]["dimension"] is None
+    assert out[4]["amount_base"] is None and out[5]["amount_base"] == out[7]["amount_base"] == 0
