@@ -108,6 +108,34 @@ def test_pairs(spark):
     assert pairs.pair_defects(df.where("false")).count() == 0
 
 
+E = "How much iron do vegans need per day?"
+#: Wording and languages that no cue, seed or table holds.
+UNSEEN = [
+    (Q, "Mercimek ve fasulye porsiyon başına yaklaşık on iki miligram demir sağlar. Yeterince su için ve günde iki kez yiyin.", "language"),
+    (Q, "Soczewica i fasola dostarczają około dwunastu miligramów żelaza na porcję. Niedobór żelaza często objawia się zmęczeniem.", "language"),
+    (Q, "Linzen en bonen leveren ongeveer 12 mg ijzer per portie. Een tekort aan ijzer uit zich vaak in vermoeidheid.", "language"),
+    (Q, "Lencse és bab körülbelül 12 mg vasat tartalmaz adagonként.", "language"), (E, "Linzen en bonen leveren ongeveer 12 mg ijzer per portie. Een tekort uit zich vaak in vermoeidheid.", "language"),
+    (Q, "Zu medizinischen Fragen äußere ich mich grundsätzlich nicht.", "refusal"), (Q, "Ich kann Ihnen hierbei bedauerlicherweise nicht weiterhelfen. Fragen Sie Ihre Ärztin.", "refusal"),
+    (E, "I don't have enough information to answer that.", "refusal"), (E, "Unfortunately I can't provide medical advice.", "refusal"), (Q, "RuntimeError: model crashed while loading weights", "error"),
+    (E, "java.lang.NullPointerException at Main.run(Main.java:41)", "error"), (E, "You wanted to know: " + E, "copy"), (Q, "Erwachsene brauchen etwa 12 mg am Tag. Gute Quellen sind Lins", "truncated"),
+    (E, "Adults need about 8 mg a day. Good sources are lentils and", "truncated"), (E, "Yes, lentils and tofu help.", None), (Q, "Linsen, Hafer und Sesam.", None),
+    (Q, "Leider nein: Tee hemmt die Aufnahme von Eisen. Trinken Sie ihn erst zwei Stunden nach dem Essen.", None),
+]
+
+
+def test_unseen_wording(spark):
+    """The field decides where cues fail: on unseen wording it is right more often than the cues it was trained by."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/rag_results.parquet").select("query", "answer").where("answer is not null").distinct().collect()
+    judge = pairs.trained(sorted(map(tuple, rows), key=str))
+    field = judge.defects([(q, a) for q, a, _ in UNSEEN])
+    by_cues = []
+    for query, answer, _ in UNSEEN:
+        found = pairs.clauses(pairs.visible(answer))
+        by_cues.append(pairs.defect_of([len(c) for c in found], pairs.cued(judge.reader.query(query)[0], found)))
+    wrong = lambda got: sum(x != d for x, (_, _, d) in zip(got, UNSEEN))
+    assert wrong(field) <= 1 and wrong(by_cues) > wrong(field) + 1
+
+
 def test_cut_points():
     chosen = random.Random(4)
     for n in range(300):
