@@ -46,8 +46,13 @@ def may_hold(ids: DataFrame, column: str, bits: int = FILTER_BITS):
     return lambda c: held(F.pmod(F.xxhash64(c), F.lit(bits)))
 
 
+#: By how much the share of a sample is widened before the rows of the smallest hashes are taken from it.
+SLACK = 1.25
+
+
 def hash_sample(df: DataFrame, keys: list[str], rows: int, most: int) -> list:
-    """At most ``most`` rows of ``df``, which has about ``rows``, chosen by a hash of their keys: the same rows in every run
-    and however the data is partitioned, and no more of them ever reach the driver."""
-    share = min(1.0, most / max(rows, 1))
-    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(share * (1 << 30))).limit(most).collect()
+    """At most ``most`` rows of ``df``, which has about ``rows``: those of the smallest hashes of their keys. The same rows
+    in every run and however the data is partitioned (but for equal keys), and no more of them ever reach the driver."""
+    share = min(1.0, SLACK * most / max(rows, 1))
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    return df.where(hashed < int(share * (1 << 30)) + 1).orderBy(hashed, *keys).limit(most).collect()
