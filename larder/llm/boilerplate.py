@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.words import mix
+from larder.llm.words import hash64, mix
 
 #: Share of a host's pages (and least pages) on which a path must occur to win there; share of all pages and
 #: least hosts; a path that wins on that many hosts wins on all.
@@ -42,11 +42,8 @@ _MASK = (1 << 64) - 1
 
 def path_key(text: str) -> int:
     """A stable 64-bit number of a generalised line; numbers stay in one that is marked as a list item."""
-    import zlib
-
     level = " ".join(text.lower().split())
-    data = (level if level.startswith(_MARK) else _DIGITS.sub("#", level)).encode("utf-8", "surrogatepass")
-    return (zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)) & _MASK
+    return hash64(level if level.startswith(_MARK) else _DIGITS.sub("#", level))
 
 
 def kind_of(line: str) -> str:

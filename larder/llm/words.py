@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-import zlib
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -28,10 +28,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def hash64(text: str) -> int:
+    """A 64-bit hash that is the same in every process."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        data = word.encode("utf-8", "surrogatepass")
-        value = self[word] = zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
+        value = self[word] = hash64(word)
         return value
 
 

@@ -5,10 +5,10 @@ import random
 import numpy as np
 import pytest
 
-from larder.llm import canonical, neardup
+from larder.llm import boilerplate, canonical, neardup
 from larder.llm.components import components
 from larder.llm.staging import may_hold, staged
-from larder.llm.words import WORD
+from larder.llm.words import WORD, WordHasher, hash64
 
 ALIASES = [("zinc", "min_zinc"), ("Zink", "min_zinc"), ("Kalium", "min_potassium"), ("potassium", "min_potassium"), ("vitamin B1", "vit_b1"), ("Vitamin B12", "vit_b12"), ("thiamine", "vit_b1"), ("Vitamin E", "vit_e"), ("gesättigte Fettsäuren", "mac_sfa"), ("einfach ungesättigte Fettsäuren", "mac_mufa"), ("Omega-3-Fettsäuren", "fa_omega3"), ("Omega-6-Fettsäuren", "fa_omega6"), ("Magnesium", "min_magnesium"), ("Mangan", "min_manganese"), ("riboflavin", "vit_b2")]
 MEANT = [
@@ -134,3 +134,11 @@ def test_short_copies(spark):
     rows = [" ".join(base)] + [" ".join(base + [f"m{n}x{i}" for i in range(n)]) for n in (1, 4, 8, 9)]
     got = {tuple(r) for r in neardup.found_pairs(spark.createDataFrame(list(enumerate(rows)), "chunk_id bigint, text string")).collect()}
     assert {(0, 1), (0, 2), (0, 3)} <= got and (0, 4) not in got
+
+
+def test_hashes_do_not_collide():
+    """A million words of one length keep a million hashes."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(8)) for i in range(1_000_000)]
+    flat, counts = WordHasher().flat([words])
+    assert len(np.unique(flat)) == len(words) == counts.sum()
+    assert hash64("gnyijstj") != hash64("etislvlf") and boilerplate.path_key("gnyijstj") != boilerplate.path_key("etislvlf")
