@@ -1,6 +1,7 @@
 """Pages, scans, pairs, pieces, ids, leaks and details on small cases."""
 
 import random
+import time
 
 import pytest
 
@@ -149,6 +150,22 @@ def test_cut_points():
     assert len(splitting.cut_points("ä" * 10_000, 2400, 200)) == 5
 
 
+@pytest.mark.parametrize("room", range(201, 261))
+def test_tight_rooms(room):
+    """Metadata that leaves little room makes many pieces, not many trials."""
+    text = "wort und satz. " * 667
+    started = time.perf_counter()
+    spans = splitting.cut_points(text, room, 200)
+    assert time.perf_counter() - started < 1
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(b - a <= room for a, b in spans) and all(c == b - 200 and d > b for (_, b), (c, d) in zip(spans, spans[1:]))
+
+
+def test_versions_of_an_item(spark):
+    rows = [(1, "a " * 2000, None), (1, "b " * 5000, None), (1, "a " * 2000, None)]
+    out = splitting.pieces_of(spark.createDataFrame(rows, "chunk_id bigint, text string, metadata struct<folder:string,doc_type:string,source:string>")).collect()
+    assert len({r["text"][0] for r in out}) == 1 and len(out) == out[0]["pieces"]
+
+
 def test_pieces(spark):
     meta = "struct<folder:string,doc_type:string,source:string>"
     rows = [(1, "x" * 2389, ("f", "PDF", "abcdefg")), (2, "x" * 2390, ("f", "PDF", "abcdefg")), (3, None, ("f" * 3000, None, None)), (4, "y" * 5000, None), (5, "z " * 900, ("f" * 2300, "PDF", None)), (6, "", None), (7, "\U0001f600" * 2400, None)]
