@@ -2,7 +2,9 @@
 
 import random
 import time
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from larder.llm import boilerplate, encoding, leakage, pairs, privacy, scans, splitting
@@ -65,16 +67,18 @@ der Rat der Fachleute."""
 def test_scan_lines():
     assert scans.is_scan(SCAN) and not scans.is_scan(PROSE * 3) and not scans.is_scan(None) and not scans.is_scan("| a |\n| b |\n| c |")
     known = {"rnan": "man", "vi†amin-status": "vitamin-status"}
-    got = scans.defects(SCAN, scans.LineModel(), lambda key: False, known.get)
+    page = scans.Page(scans.LineModel().fit([]), {})
+    got = scans.defects(SCAN, page.states([SCAN])[0], known.get)
     assert got == [(1, "header"), (4, "hyphen"), (7, "hyphen"), (8, "char"), (9, "page_no"), (10, "header"), (11, "char")]
-    text = scans.paragraphs(SCAN, scans.LineModel(), lambda key: False, known.get)
+    text = scans.paragraphs(SCAN, page.states([SCAN])[0], known.get)
     assert "Jahreszeit und Angebot. Typ-2-Diabetes" in text and "Mahlzeiten, die man am" in text and "Merkheft" not in text and "17" not in text
 
 
 @pytest.mark.parametrize("bound", [300_000, 0])
 def test_scan_defects(spark, monkeypatch, bound):
-    """The same lines whether the misread words are sent around or joined."""
+    """The same lines whether misread words and recurring lines are sent around or joined."""
     monkeypatch.setattr(scans, "BROADCAST_WORDS", bound)
+    monkeypatch.setattr(scans, "BROADCAST_LINES", bound)
     meta = "struct<folder:string,doc_type:string,source:string>"
     rows = [(i, SCAN.replace("17", str(17 + i)), ("f", "PDF", None)) for i in range(12)] + [(50, None, ("f", "PDF", None)), (51, "", ("f", "PDF", None)), (52, "man " * 3000, ("f", "PDF", None)), (53, SCAN, ("f", "HTML", None)), (54, "x" * 100_000 + "\n" + "m" * 5000, None), (55, "man sieht " * 200, ("f", "PDF", None))]
     df = spark.createDataFrame(rows + rows[:3], f"chunk_id bigint, text string, metadata {meta}")
@@ -86,6 +90,73 @@ def test_scan_defects(spark, monkeypatch, bound):
     assert set(texts) == set(range(12)) and "Jahreszeit und Angebot" in texts[3]
 
 
+def test_wide_line(spark):
+    """One line beyond the width of the others shuts no page out."""
+    wide = SCAN + "\n" + "Diese eine Zeile ist beim Einlesen nicht umgebrochen worden und läuft deshalb weit über den Satzspiegel hinaus."
+    assert len(wide.split("\n")[-1]) > 97
+    df = spark.createDataFrame([(i, wide, ("f", "PDF", None)) for i in range(3)], "chunk_id bigint, text string, metadata struct<folder:string,doc_type:string,source:string>")
+    got = {(r["line_no"], r["kind"]) for r in scans.scan_defects(df).collect() if r["chunk_id"] == 1}
+    assert got >= {(1, "header"), (4, "hyphen"), (7, "hyphen"), (9, "page_no"), (10, "header")} and not any(n == 13 for n, _ in got)
+
+
+def _volume(chosen, words, titles, stock):
+    """Pages of one volume with their true states: a running title that few others have, with or without a number, page
+    numbers now and then, and short paragraphs, some of which start with a stock line."""
+    title, width, lines, states = chosen.choice(titles), chosen.randrange(44, 70), [], []
+    for page in range(chosen.randrange(2, 4)):
+        if chosen.random() < 0.6:
+            lines.append(chosen.choice([title, title, title, f"{page + 20}   {title}", f"{title}   {page + 20}"]))
+            states.append(scans.HEADER)
+        line, end = "", False
+        for _ in range(chosen.randrange(30, 60)):
+            if end and chosen.random() < 0.3:
+                lines += [line] if chosen.random() < 0.5 else [line, chosen.choice(stock)]
+                states += [scans.BODY] * (len(lines) - len(states))
+                line = ""
+            word = chosen.choice(words)
+            word = word.capitalize() if end or not line and not states[-1:] or chosen.random() < 0.3 else word
+            end = chosen.random() < 0.1
+            word += "." if end else ""
+            if len(line) + 1 + len(word) > width:
+                lines.append(line)
+                states.append(scans.BODY)
+                line = word
+            else:
+                line = f"{line} {word}".strip()
+        lines.append(line.rstrip(".") + ".")
+        states.append(scans.BODY)
+        if chosen.random() < 0.7:
+            lines.append(str(page + 20))
+            states.append(scans.PAGE_NO)
+    return lines, states
+
+
+def test_line_model_decides():
+    """The fitted sequence decides: without the fit, or by the shape of a line alone, far more lines are wrong."""
+    chosen = random.Random(11)
+    words = ["".join(chosen.choice(x) for x in ("bdfgkl", "aeiou", "mnrst", "aeiou", "lnrt")[: chosen.randrange(2, 6)]) for _ in range(400)]
+    titles = [" ".join(chosen.choice(words).capitalize() for _ in range(chosen.randrange(2, 6))) for _ in range(300)]
+    stock = [" ".join(chosen.choice(words) for _ in range(chosen.randrange(4, 8))).capitalize() for _ in range(8)]
+    made = [_volume(chosen, words, titles, stock) for _ in range(400)]
+    count = Counter(k for lines, _ in made for k in {scans.header_key(x) for x in lines if scans.may_recur(x, scans.shape_of(x))})
+    seen = [scans.observed(lines, {k: n for k, n in count.items() if n >= 3}.get) for lines, _ in made]
+
+    def wrong(model):
+        return sum(((a == scans.HEADER) != (b == scans.HEADER)) for got, (_, states) in zip(model.label(seen), made) for a, b in zip(got, states))
+
+    fitted, unfitted = scans.LineModel().fit(seen), scans.LineModel().fit(seen, 0)
+    total = sum(b == scans.HEADER for _, states in made for b in states)
+    by_shape = sum((row[0] == scans.DETACHED) != (b == scans.HEADER) for rows, (_, states) in zip(seen, made) for row, b in zip(rows, states))
+    assert wrong(fitted) <= 0.02 * total and wrong(unfitted) > 4 * wrong(fitted) and by_shape > 0.2 * total
+    # a line that its features leave open is a header behind a page number and text inside a page
+    rows = np.unique(np.concatenate(seen), axis=0)
+    scores = sum(e[:, rows[:, f]] for f, e in enumerate(fitted.emit))
+    open_line = rows[np.argmin(np.abs(scores[scans.HEADER] - scores[scans.BODY]))]
+    number, inside = (rows[np.argmax(scores[s])] for s in (scans.PAGE_NO, scans.BODY))
+    behind, between = fitted.label([np.stack([number, open_line, inside]), np.stack([inside, open_line, inside])])
+    assert behind[1] == scans.HEADER and between[1] == scans.BODY
+
+
 Q = "Wie viel Eisen brauche ich mit 40 Jahren, wenn ich kaum Linsen esse?"
 PAIRS = [
     (Q, None, "empty"), (Q, " ​\n", "empty"), (Q, "n/a", "empty"), (Q, "<p></p>", "empty"), (Q, "Antwort:", "empty"),
