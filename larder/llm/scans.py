@@ -36,6 +36,9 @@ RECURS = (3, 6, 20)
 BROADCAST_LINES = 300_000
 #: A word is misread if undoing a misreading gives a word at least so many times as frequent, and that often at least.
 TIMES, LEAST = 8, 4
+#: Longest word in which a misreading is undone in one place at a time: a longer run of characters has as many variants of
+#: its own length as it has letters.
+USUAL_WORD = 100
 #: Misread words that may be sent to every task; more are joined.
 BROADCAST_WORDS = 300_000
 
@@ -261,8 +264,7 @@ class LineModel:
             rows = np.arange(len(group))
             current = np.zeros(len(group), np.int64)
             for i in range(where.shape[1] - 1, -1, -1):
-                ends = lengths - 1 == i
-                current = np.where(ends, np.stack(score, 0)[i].argmax(1) if ends.any() else 0, current)
+                current = np.where(lengths - 1 == i, score[i].argmax(1), current)
                 states[:, i] = current
                 if i:
                     current = back[i - 1][rows, current]
@@ -276,14 +278,14 @@ def bare_word(token: str) -> str:
 
 
 def unread(word: str) -> set[str]:
-    """What a word would be if one usual misreading is undone, everywhere or in one place."""
+    """What a word would be if one usual misreading is undone, everywhere or, in words of usual length, in one place."""
     out = set()
     for wrong, right in MISREADINGS:
         at = word.find(wrong)
         if at < 0:
             continue
         out.add(word.replace(wrong, right))
-        while at >= 0:
+        while at >= 0 and len(word) <= USUAL_WORD:
             out.add(word[:at] + right + word[at + len(wrong) :])
             at = word.find(wrong, at + 1)
     out.discard(word)
