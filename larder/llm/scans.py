@@ -393,9 +393,12 @@ def paragraphs(text: str, states, misread) -> str:
 
 
 def scans_of(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, text`` of PDF chunks that may be scanned pages: a line ends without a stop. The Python side looks closer."""
-    pdf = chunks.where(F.col("metadata.doc_type") == "PDF")
-    return pdf.where(F.col("text").rlike(r"[^\s.!?:|][^\S\n]*\n")).select("chunk_id", "text")
+    """``chunk_id, text`` of PDF chunks that may be scanned pages: they have lines. The Python side looks closer."""
+    return _pdf(chunks).where(F.col("text").contains("\n")).select("chunk_id", "text")
+
+
+def _pdf(chunks: DataFrame) -> DataFrame:
+    return chunks.where(F.col("metadata.doc_type") == "PDF")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,7 +471,7 @@ def _tools(chunks: DataFrame):
     else:
         scans = scans.withColumn("lines", F.lit(None).cast("map<string,bigint>"))
         lines = {r["key"]: r["n"] for r in rows}
-    sample = sorted({r["text"]: r["lines"] for r in hash_sample(scans.select("text", "lines"), ["text"], scans.count(), SAMPLE) if is_scan(r["text"])}.items())
+    sample = sorted({r["text"]: r["lines"] for r in hash_sample(scans.select("text", "lines"), ["text"], _pdf(chunks).count(), SAMPLE) if is_scan(r["text"])}.items())
     page = Page(LineModel(), lines)
     page.model.fit([observed(t.split("\n"), (lines if lines is not None else own or {}).get) for t, own in sample])
     words = staged(misread_words(chunks))

@@ -153,7 +153,7 @@ def test_line_model_decides():
     scores = sum(e[:, rows[:, f]] for f, e in enumerate(fitted.emit))
     number, inside = (rows[np.argmax(scores[s])] for s in (scans.PAGE_NO, scans.BODY))
     text = np.flatnonzero((rows[:, 0] == scans.TEXT) & (scores[[scans.HEADER, scans.BODY]].min(0) > scores[[scans.PAGE_NO, scans.HEADING, scans.BREAK]].max(0)))
-    open_line = rows[text[np.argmin(np.abs(scores[scans.HEADER] - scores[scans.BODY])[text])]]
+    open_line = rows[text[np.argmin(np.abs(scores[scans.HEADER] - scores[scans.BODY] - 1)[text])]]
     behind, between = fitted.label([np.stack([number, open_line, inside]), np.stack([inside, open_line, inside])])
     assert behind[1] == scans.HEADER and between[1] == scans.BODY
 
