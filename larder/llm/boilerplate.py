@@ -1,11 +1,13 @@
 """Page furniture around the main content of web pages.
 
-Method: consensus host paths. The chunks hold rendered lines, not tags, so a line's path is what is left of a container
-when tags are gone: the kind of line, whether content came before it, and its generalised text (numbers as ``#``, case
-and spacing levelled; a row of links is one path per link). Each page scores its containers (runs of lines) by their share
-of running text and votes, in Spark, for the paths it shows; the paths that recur over the pages of a host, or over hosts,
-win, and every page is read again with the winning paths: a line on a winning path is furniture, and so are rows made of
-winning parts and the links under a winning label.
+Method: consensus host paths. The chunks hold rendered lines, not tags, so a page's containers are its runs of lines of one
+sort (running text with the title above it, list items, links), and the path of a line is the kind of line with its
+generalised text (numbers as ``#``, case and spacing levelled; a row of links is one path per link). Each page scores its
+containers by their share of running text, and every line votes, in Spark, for its path with the score of its container. A
+path wins on a host if it recurs on a share of the host's pages that rises with the score: what stands among links needs few
+pages, what stands in running text needs more. Paths that recur over hosts win everywhere. Every page is then read again
+with the winning paths: a line on one is furniture, and so are rows made of winning parts and the links under a winning
+label, to the end of their container.
 """
 
 from __future__ import annotations
@@ -18,15 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.staging import staged
 from larder.llm.words import hash64, mix
 
-#: Share of a host's pages (and least pages) on which a path must occur to win there; share of all pages and
-#: least hosts; a path that wins on that many hosts wins on all.
-HOST_SHARE, HOST_PAGES, ALL_SHARE, ALL_HOSTS = 0.11, 3, 0.016, 3
+#: Share of a host's pages on which a path must occur to win there, among links and in running text, and least pages;
+#: share of all pages and least hosts; a path that wins on that many hosts wins on all.
+LINK_SHARE, TEXT_SHARE, HOST_PAGES, ALL_SHARE, ALL_HOSTS = 0.08, 0.12, 3, 0.016, 3
 #: The same share for list items: those of main bodies recur too, as an ingredient does, so most pages must show one.
 ITEM_SHARE = 0.5
-#: Winning paths that may be sent to every task (in a hash table); more are joined to the pages by host.
-BROADCAST_PATHS = 300_000
+#: Winning paths that may be sent to every task (in a table of 17 bytes a path); beyond it, pages meet the paths of their
+#: host in groups of so many pages at most, about.
+BROADCAST_PATHS, GROUP_PAGES = 300_000, 4000
+#: Scores are counted in these parts; the key under which the pages of a host are counted.
+PARTS, EVERY = 1000, 0
 
 _ROW = re.compile(r"\s+(?:[>›»|·•/→])\s+|\s{2,}|\t")
 _END = re.compile(r"[.!?…][\"”“’»)\]]*$")
@@ -55,9 +61,9 @@ def kind_of(line: str) -> str:
         return "i"
     if len(text) <= 160 and len(_ROW.split(text)) > 1:
         return "r"
-    if _END.search(text) and len(text.split()) >= 5:
-        return "s"
-    return "s" if len(text) > 110 else "t"
+    if len(text) <= 110 and (not _END.search(text) or text[-1] == "?" or len(text.split()) < 5):
+        return "t"
+    return "s"
 
 
 def _linked(text: str) -> bool:
@@ -94,20 +100,42 @@ class Reader:
     def _key(self, line: str, kind: str) -> int:
         return self.keys[_MARK + line if kind == "i" else line]
 
-    def votes(self, text: str) -> dict[int, int]:
-        """Path to what the page says of it: 1 content came before, 2 a title-like line follows, 4 it is a list item."""
+    def scores(self, lines: list[tuple[str, str]]) -> list[float]:
+        """The score of each line's container: the share of running text in it."""
+        out = [0.0] * len(lines)
+        members: list[int] = []
+        sort = ""
+        for i in range(len(lines) + 1):
+            here = "" if i == len(lines) or lines[i][1] == "b" else "link" if lines[i][1] in "tr" else "text"
+            if here != sort and not (i < len(lines) and not here):
+                # a title right above running text belongs to its container
+                title = [members.pop()] if sort == "link" and here == "text" and members and lines[members[-1]][1] == "t" else []
+                running = sum(len(lines[k][0]) for k in members if lines[k][1] in "si")
+                total = sum(len(lines[k][0]) for k in members)
+                for k in members:
+                    out[k] = running / total
+                members, sort = title, here
+            if here:
+                members.append(i)
+        return out
+
+    def votes(self, text: str) -> dict[int, tuple[int, int]]:
+        """Path to the score of its container and what else the page says of it: 1 content came before, 2 a title-like line
+        follows, 4 it is a list item."""
         lines = self.lines(text)
+        scores = self.scores(lines)
         before, out = False, {}
         for i, (line, kind) in enumerate(lines):
             if kind == "b":
                 continue
             follows = i + 1 < len(lines) and (lines[i + 1][1] == "t" or _linked(lines[i + 1][0]))
             key = self._key(line, kind)
-            out[key] = out.get(key, 0) | before | 2 * follows | 4 * (kind == "i")
+            score, flags = out.get(key, (0, 0))
+            out[key] = max(score, int(PARTS * scores[i])), flags | before | 2 * follows | 4 * (kind == "i")
             if kind == "r":
                 for part in _ROW.split(line):
                     if part:
-                        out.setdefault(self.keys[part], 0)
+                        out.setdefault(self.keys[part], (0, 0))
             before = before or kind in "si" and len(line) > 60
         return out
 
@@ -133,8 +161,7 @@ class Reader:
             elif links and (kind == "t" or _linked(line)):
                 out.append(i)
             else:
-                links = False
-                before = before or kind in "si"
+                links, before = False, True
         return out
 
     def _wrapped(self, above: tuple[str, str], below: tuple[str, str], won) -> bool:
@@ -160,20 +187,25 @@ class Reader:
         return len(words) in reach
 
 
+_VOTES = ("pages", "score", "after", "opening", "item")
+
+
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``host, key, pages, after, opening, item``, summed over each batch."""
+    """Rows ``host, key`` with the votes for a path, summed over each batch; under one key the pages of the host."""
     reader = Reader()
     for batch in batches:
         seen: dict[tuple[int, int], list[int]] = {}
         for text, host in zip(batch.column("text").to_pylist(), batch.column("host").to_pylist()):
-            for key, flags in reader.votes(text).items():
-                row = seen.setdefault((host, key), [0, 0, 0, 0])
+            seen.setdefault((host, EVERY), [0] * len(_VOTES))[0] += 1
+            for key, (score, flags) in reader.votes(text).items():
+                row = seen.setdefault((host, key), [0] * len(_VOTES))
                 row[0] += 1
-                row[1] += flags & 1
-                row[2] += flags >> 1 & 1
-                row[3] += flags >> 2
-        columns = list(zip(*[(h, k if k < 1 << 63 else k - (1 << 64), *v) for (h, k), v in seen.items()])) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["host", "key", "pages", "after", "opening", "item"])
+                row[1] += score
+                row[2] += flags & 1
+                row[3] += flags >> 1 & 1
+                row[4] += flags >> 2
+        columns = list(zip(*[(h, k if k < 1 << 63 else k - (1 << 64), *v) for (h, k), v in seen.items()])) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["host", "key", *_VOTES])
 
 
 def pages_of(chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -188,21 +220,26 @@ def pages_of(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("chunk_id", "text", F.xxhash64("name").alias("host")).distinct()
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """``host, key, opens`` of the paths that win on a host. A host is never gathered: votes are summed in each batch, then
-    by host and path, and shares come from small tables of pages per host and of paths that many hosts show."""
-    votes = pages.mapInArrow(_voted, "host bigint, key bigint, pages bigint, after bigint, opening bigint, item bigint")
-    by_path = votes.groupBy("host", "key").agg(*[F.sum(c).alias(c) for c in ("pages", "after", "opening")], F.max("item").alias("item"))
-    hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+def winning_paths(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``host, key, opens`` of the paths that win on a host, and ``host, host_pages``. A host is never gathered: votes are
+    summed in each batch, then by host and path, and written once; shares come from small tables of pages per host and of
+    paths that many hosts show."""
+    votes = pages.mapInArrow(_voted, "host bigint, key bigint, " + ", ".join(f"{c} bigint" for c in _VOTES))
+    counted = staged(votes.groupBy("host", "key").agg(*[F.sum(c).alias(c) for c in _VOTES]))
+    hosts = counted.where(F.col("key") == EVERY).select("host", F.col("pages").alias("host_pages"))
+    by_path = counted.where(F.col("key") != EVERY)
     total = hosts.agg(F.sum("host_pages").alias("n")).first()["n"] or 0
-    local = (F.col("pages") >= HOST_PAGES) & (F.col("pages") >= F.when(F.col("item") > 0, ITEM_SHARE).otherwise(HOST_SHARE) * F.col("host_pages"))
-    everywhere = by_path.join(hosts, "host").groupBy("key").agg(F.sum("pages").alias("all_pages"), F.count("*").alias("hosts"), F.count_if(local).alias("wins"), F.sum("after").alias("all_after"), F.sum("opening").alias("all_opening"), F.max("item").alias("all_item"))
+    mean = F.col("score") / (PARTS * F.col("pages"))
+    needed = F.when(F.col("item") > 0, ITEM_SHARE).otherwise(LINK_SHARE + (TEXT_SHARE - LINK_SHARE) * mean)
+    local = (F.col("pages") >= HOST_PAGES) & (F.col("pages") >= needed * F.col("host_pages"))
+    scored = by_path.join(hosts, "host").withColumn("local", local)
+    everywhere = scored.groupBy("key").agg(F.sum("pages").alias("all_pages"), F.count("*").alias("hosts"), F.count_if("local").alias("wins"), F.sum("after").alias("all_after"), F.sum("opening").alias("all_opening"), F.max("item").alias("all_item"))
     recurs = (F.col("all_pages") >= ALL_SHARE * F.lit(total)) & (F.col("hosts") >= ALL_HOSTS) & (F.col("all_item") == 0)
     common = everywhere.where(recurs | (F.col("wins") >= ALL_HOSTS))
-    scored = by_path.join(hosts, "host").join(common, "key", "left")
+    both = scored.join(common, "key", "left")
     n, after, opening = (F.coalesce(a, b) for a, b in (("all_pages", "pages"), ("all_after", "after"), ("all_opening", "opening")))
     opens = (after >= 0.5 * n) & (opening >= 0.5 * n)
-    return scored.where(local | F.col("all_pages").isNotNull()).select("host", "key", opens.alias("opens"))
+    return both.where(F.col("local") | F.col("all_pages").isNotNull()).select("host", "key", opens.alias("opens")), hosts
 
 
 def _mixed(host: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -214,16 +251,16 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
     """``chunk_id, line_no`` of every non-blank line that is no main content, lines counted from 1 with blank ones.
 
     Pages without furniture give no rows; null and empty texts are no pages. The winning paths are sent to every task where
-    their number is within a checked bound; beyond it each page is joined with the paths of its host.
+    their number is within a checked bound; beyond it pages and paths of a host are brought together in groups.
     """
-    won = winning_paths(pages).persist()
+    paths, hosts = winning_paths(pages)
+    won = staged(paths)
     schema = "chunk_id bigint, line_no int"
     if won.count() <= BROADCAST_PATHS:
         rows = won.toPandas()
         codes = _mixed(rows["host"].to_numpy(np.int64), rows["key"].to_numpy(np.int64))
         order = np.argsort(codes)
         shared = pages.sparkSession.sparkContext.broadcast((codes[order], rows["opens"].to_numpy(bool)[order]))
-        won.unpersist()
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, opens = shared.value
@@ -234,16 +271,18 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
                 yield _read(batch, reader, lambda host, key: known.get(_code(host, key)), tables)
 
         return pages.mapInArrow(read, schema)
-    per_host = won.groupBy("host").agg(F.collect_list("key").alias("keys"), F.collect_list("opens").alias("opens"))
-
-    def read_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, tables = Reader(), {}
-        for batch in batches:
-            for host, keys, opens in zip(*(batch.column(c).to_pylist() for c in ("host", "keys", "opens"))):
-                tables.setdefault(host, {k & _MASK: o for k, o in zip(keys or (), opens or ())})
-            yield _read(batch, reader, lambda host, key: tables[host].get(key), {})
-
-    return pages.join(per_host, "host", "left").mapInArrow(read_joined, schema)
+    # pages and paths of a host meet in as many groups as the host needs; a host has few paths, as each needs a share of its pages
+    groups = hosts.select("host", (F.col("host_pages") / GROUP_PAGES).cast("int").alias("last"))
+    dealt = pages.join(groups, "host").select("chunk_id", "text", "host", F.pmod(F.xxhash64("chunk_id"), F.col("last") + 1).cast("int").alias("part"))
+    copied = won.join(groups, "host").select("host", F.explode(F.sequence(F.lit(0), "last")).alias("part"), "key", "opens")
+
+    def read_group(pages: pa.Table, paths: pa.Table) -> pa.Table:
+        known = dict(zip((k & _MASK for k in paths.column("key").to_pylist()), paths.column("opens").to_pylist()))
+        reader = Reader()
+        read = [_read(batch, reader, lambda host, key: known.get(key), {}) for batch in pages.to_batches()]
+        return pa.Table.from_batches(read, pa.schema([("chunk_id", pa.int64()), ("line_no", pa.int32())]))
+
+    return dealt.groupBy("host", "part").cogroup(copied.groupBy("host", "part")).applyInArrow(read_group, schema)
 
 
 def _code(host: int, key: int) -> int:

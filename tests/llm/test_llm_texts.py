@@ -37,6 +37,7 @@ def pages():
 def test_furniture(spark, monkeypatch, bound):
     """The same lines whether the winning paths are sent around or joined."""
     monkeypatch.setattr(boilerplate, "BROADCAST_PATHS", bound)
+    monkeypatch.setattr(boilerplate, "GROUP_PAGES", 12)
     rows = pages()
     meta = "struct<folder:string,doc_type:string,source:string>"
     chunks = [(i, i, t, ("f", "HTML", s if i % 10 else None)) for i, s, t, _ in rows] + [(900, 900, None, ("f", "HTML", "kornhaus_900.html")), (901, 901, "", ("f", "HTML", None)), (902, 902, "Start", ("f", "PDF", None)), (903, 903, PROSE.format(1), (None, "HTML", None))]
@@ -50,6 +51,15 @@ def test_furniture(spark, monkeypatch, bound):
     assert "Impressum" not in body[1] and "g Linsen" in body[1] and body[903] == PROSE.format(1)
 
 
+def test_container_scores():
+    """Links score nothing, running text and the title above it nearly all, items nothing they are not."""
+    reader = boilerplate.Reader()
+    page = f"Start | Suche | Hilfe\nMenü öffnen\nEisen im Alltag\n{PROSE.format(3)}\n\n{PROSE.format(4)}\n- 3 g Linsen\nMeistgelesen\nTofu oder Linsen: was ist besser?"
+    scores = reader.scores(reader.lines(page))
+    assert scores[0] == scores[1] == scores[-1] == scores[-2] == 0 and scores[2] == scores[3] == scores[5] > 0.9 and scores[4] == 0
+    assert reader.scores([]) == [] and reader.scores(reader.lines("\n\n")) == [0, 0, 0]
+
+
 SCAN = """Merkheft Kost Bd. 4   17
 1.2 Eisen im Alltag
 Der Bedarf an Eisen und Zink steigt, sobald Schwangere
