@@ -142,3 +142,20 @@ def test_hashes_do_not_collide():
     flat, counts = WordHasher().flat([words])
     assert len(np.unique(flat)) == len(words) == counts.sum()
     assert hash64("gnyijstj") != hash64("etislvlf") and boilerplate.path_key("gnyijstj") != boilerplate.path_key("etislvlf")
+
+
+@pytest.mark.parametrize(("words", "every", "choices", "entries"), [(130, 13, 30, None), (280, 14, 30, None), (130, 14, 3, None), (130, 13, 30, 500)])
+def test_template_families(spark, monkeypatch, words, every, choices, entries):
+    """Texts of one template, which differ in some words, lose no link, also where their columns swell a part of the product."""
+    if entries:
+        # one part, which is far beyond its share
+        steps = neardup._frequencies
+        monkeypatch.setattr(neardup, "_frequencies", lambda chunks: (steps(chunks)[0], 1))
+        monkeypatch.setattr(neardup, "TASK_ENTRIES", entries)
+    chosen = random.Random(words + every + choices)
+    template = [f"wort{k}" for k in range(words)]
+    texts = [" ".join(f"{chosen.randrange(choices)}s{k}" if k % every == 0 else w for k, w in enumerate(template)) for _ in range(120)]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    expected = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    got = {tuple(r) for r in neardup.found_pairs(spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, text string")).collect()}
+    assert got == expected and len(expected) > 100
