@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,16 +78,16 @@ def _local_top(shared, k: int, metric: str):
         best_id = np.full((len(query_ids), k), np.iinfo(np.int64).max)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = batch.column(1).to_pylist()
-            good = [i for i, v in enumerate(vectors) if v is not None and len(v) == queries.shape[1]]
-            if not good:
+            rows, good = _matrix(batch.column(1), queries.shape[1])
+            if not len(rows):
                 continue
-            rows, ids = np.array([vectors[i] for i in good], np.float64), ids[good]
+            ids = ids[good]
             for start in range(0, len(query_ids), 256):
                 q = queries[start : start + 256]
                 d = _distances(q, rows, metric)
-                all_d = np.concatenate([best_d[start : start + 256], d], axis=1)
-                all_id = np.concatenate([best_id[start : start + 256], np.broadcast_to(ids, d.shape)], axis=1)
+                near_d, near_id = _nearest_columns(d, ids, k)
+                all_d = np.concatenate([best_d[start : start + 256], near_d], axis=1)
+                all_id = np.concatenate([best_id[start : start + 256], near_id], axis=1)
                 order = np.lexsort((all_id, all_d), axis=1)[:, :k]
                 best_d[start : start + 256] = np.take_along_axis(all_d, order, 1)
                 best_id[start : start + 256] = np.take_along_axis(all_id, order, 1)
@@ -97,6 +98,29 @@ def _local_top(shared, k: int, metric: str):
     return top
 
 
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of this width that hold no null as a matrix, and their rows in the column."""
+    lengths = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)), -1).astype(np.int64)
+    good = np.flatnonzero(lengths == width)
+    flat = column.take(pa.array(good)).flatten()
+    rows = np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(good), width)
+    if flat.null_count:
+        whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(good), width).all(axis=1)
+        rows, good = rows[whole], good[whole]
+    return rows, good
+
+
+def _nearest_columns(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of at least the ``k`` nearest of each row, all that tie with the last of them included."""
+    if d.shape[1] <= 4 * k:
+        return d, np.broadcast_to(ids, d.shape)
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    inside = d <= edge
+    widest = int(inside.sum(1).max())
+    order = np.argsort(~inside, axis=1, kind="stable")[:, :widest]
+    return np.where(np.take_along_axis(inside, order, 1), np.take_along_axis(d, order, 1), np.inf), ids[order]
+
+
 def _distances(q: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     dot = q @ rows.T
     if metric == "cosine":

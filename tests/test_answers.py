@@ -1,4 +1,9 @@
+import asyncio
+import json
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import evaluation, generation, retrieval
@@ -94,3 +99,44 @@ def test_replies(spark):
     rows = df.select("i", generation.parsed_response("raw").alias("p"), generation.reply_or("raw").alias("a"), generation.reply_or("raw", "[]", True).alias("b")).orderBy("i").collect()
     assert [r["a"] for r in rows][:3] == ["{}", "{}", "  "] and [r["b"] for r in rows][:3] == ["[]"] * 3
     assert rows[3]["p"] == "ja" and all(r["p"].startswith(generation.OTHER_ERROR) for r in rows if r["i"] != 3)
+
+
+def test_nearest_keeps_ties_and_odd_vectors(spark):
+    rows = [(i, [float(i % 3), 0.0]) for i in range(200)] + [(200, [None, 1.0]), (201, [float("nan"), 0.0]), (202, [])]
+    corpus = spark.createDataFrame(rows, "id bigint, vector array<double>").coalesce(1)
+    got = retrieval.nearest(corpus, spark.createDataFrame([(9, [0.0, 0.0])], "query_id bigint, vector array<double>"), 5).orderBy("rank").collect()
+    assert [(r["rank"], r["id"]) for r in got] == [(1, 0), (2, 3), (3, 6), (4, 9), (5, 12)]
+
+
+def test_json_model():
+    asked = []
+
+    def moody(prompt):
+        asked.append(prompt)
+        if len(asked) == 1:
+            raise OSError("down")
+        return "no json" if len(asked) == 2 else '```json\n{"claims": [{"text": "a", "verdict": true}, {"text": "b", "verdict": false}]}\n```'
+
+    model = generation.JsonModel(moody, "m", pause=0)
+    assert json.loads(model.generate("x"))["claims"][0]["verdict"] is True and len(asked) == 3 and "JSON" in asked[0] and model.get_model_name() == "m" and model.load_model() is model
+    assert generation.ModelJudge(model)("q", "a b", ["c"]) == {"faithfulness": 0.5, "relevancy": 0.5}
+    blank = generation.JsonModel(lambda prompt: "  ", default=generation.NO_CLAIMS)
+    assert blank.generate_prompts(["a", "b"]) == [generation.NO_CLAIMS] * 2 and generation.ModelJudge(blank)("q", "a", []) == {"faithfulness": None, "relevancy": None}
+    assert asyncio.run(blank.agenerate_prompts(["a"])) == [generation.NO_CLAIMS]
+    tries = []
+    slow = generation.JsonModel(lambda prompt: tries.append(1) or time.sleep(5) or "{}", timeout=0.05, attempts=3, pause=0)
+    with pytest.raises(generation.ServiceError, match="3 attempts"):
+        slow.generate("x")
+    assert len(tries) == 3
+
+
+def test_model_judge_in_spark(spark):
+    def ask(prompt):
+        if "bad" in prompt:
+            raise OSError("down")
+        return '{"claims": [{"verdict": true}]}'
+
+    judge = generation.ModelJudge(generation.JsonModel(ask, attempts=2, pause=0))
+    df = spark.createDataFrame([(1, "q", "good", ["c"]), (2, "q", "bad", None)], "query_id bigint, query string, answer string, contexts array<string>")
+    got = {r["query_id"]: r["j"] for r in generation.judged(df, "j", judge).collect()}
+    assert got[1]["faithfulness"] == 1.0 and got[1]["error"] is None and got[2]["relevancy"] is None and "down" in got[2]["error"]
