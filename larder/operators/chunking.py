@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,11 +61,28 @@ def _parts(text: str, size: int, count: Callable[[str], int], level: int) -> lis
     return out + (_parts(text[at:], size, count, level + 1) if at < len(text) else [])
 
 
-def chunk_documents(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """``doc_id, chunk_no, text`` and the other columns of each document: a narrow flat map in Arrow batches."""
-    cut = F.pandas_udf(lambda texts: texts.map(lambda t: split_text(t, size, overlap)), T.ArrayType(T.StringType()))
+def rendered(metadata: str, documents: DataFrame) -> Column:
+    """A struct of metadata as the lines ``name: value`` under which a chunk is embedded; null fields are left out."""
+    fields = documents.schema[metadata].dataType.fieldNames()
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{f}: "), F.col(f"{metadata}.{f}").cast("string")) for f in fields])
+
+
+def chunk_documents(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, metadata: str | None = None) -> DataFrame:
+    """``doc_id, chunk_no, text`` and the other columns of each document: a narrow flat map in Arrow batches.
+
+    With ``metadata``, the name of a struct column, the tokens of the rendered metadata are taken off the size, so that a
+    chunk keeps it together with its metadata; a chunk may hold one token more than the overlap at least.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pd.Series, beside: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        room = [max(size - known.setdefault(m, count_tokens(m)), overlap + 1) for m in beside]
+        return pd.Series([split_text(t, r, min(overlap, r - 1)) for t, r in zip(texts, room)], dtype=object)
+
     rest = [c for c in documents.columns if c not in ("doc_id", "text")]
-    return documents.select("doc_id", *rest, F.posexplode(cut("text")).alias("chunk_no", "text"))
+    beside = rendered(metadata, documents) if metadata else F.lit("")
+    return documents.select("doc_id", *rest, F.posexplode(cut("text", beside)).alias("chunk_no", "text"))
 
 
 def chunk_words(documents: DataFrame, size: int = SIZE, stride: int = SIZE - OVERLAP) -> DataFrame:

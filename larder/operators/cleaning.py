@@ -9,6 +9,8 @@ from larder.functions.text import clean, collapse_space, has_content, lines
 
 #: Occurrences in a document from which a line is a running line.
 REPEATED = 3
+#: Pages of a document that become one text; longer documents become several texts, so that no document is gathered whole.
+PART = 1000
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -28,10 +30,14 @@ def remove_repeated_lines(pages: DataFrame, times: int = REPEATED) -> DataFrame:
     Counting is combined before the shuffle; the lines to drop are anti-joined, where adaptive execution splits a document
     that holds a large part of all lines. Null pages become empty.
     """
+    return pages.select("doc_id", "page_no").distinct().join(_without_repeated(pages, times), ["doc_id", "page_no"], "left").fillna("", ["text"])
+
+
+def _without_repeated(pages: DataFrame, times: int) -> DataFrame:
+    """The pages that keep a line."""
     kept = page_lines(pages).join(repeated_lines(pages, times), ["doc_id", "line"], "left_anti")
     text = kept.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    rebuilt = text.select("doc_id", "page_no", F.array_join("l.line", "\n").alias("text"))
-    return pages.select("doc_id", "page_no").distinct().join(rebuilt, ["doc_id", "page_no"], "left").fillna("", ["text"])
+    return text.select("doc_id", "page_no", F.array_join("l.line", "\n").alias("text"))
 
 
 def drop_poor_pages(pages: DataFrame, least: float = 0.5) -> DataFrame:
@@ -39,8 +45,14 @@ def drop_poor_pages(pages: DataFrame, least: float = 0.5) -> DataFrame:
     return pages.where(has_content("text", least))
 
 
-def clean_documents(pages: DataFrame) -> DataFrame:
-    """``doc_id, text``: repeated lines out, poor pages out, pages joined in order and cleaned."""
-    good = drop_poor_pages(remove_repeated_lines(pages))
-    joined = good.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
-    return joined.select("doc_id", clean(F.array_join("p.text", "\n")).alias("text"))
+def clean_documents(pages: DataFrame, part: int = PART) -> DataFrame:
+    """``doc_id, part_no, text``: repeated lines out, poor pages out, pages joined in order and cleaned.
+
+    Lines are counted over the whole document. A document with page numbers of ``part`` and more gives one text for each
+    ``part`` page numbers, so that a task gathers that many pages at most, whatever share of all pages a document holds; the
+    others have the one part 0. A document whose pages all go has no row; a null page number counts as part 0.
+    """
+    good = drop_poor_pages(_without_repeated(pages, REPEATED))
+    number = F.floor(F.coalesce("page_no", F.lit(0)) / part).cast("int")
+    joined = good.groupBy("doc_id", number.alias("part_no")).agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    return joined.select("doc_id", "part_no", clean(F.array_join("p.text", "\n")).alias("text"))

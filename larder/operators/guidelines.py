@@ -34,14 +34,21 @@ def canonical_nutrient(records: DataFrame, aliases: DataFrame, fold: bool = True
     return both.withColumn("nutrient_id", F.coalesce("exact_id", "fold_id", "_id")).drop("_key", "_id", "exact_id", "fold_id")
 
 
+def _one_micro(unit: str) -> Column:
+    """A unit with the Greek letter, which composed text has, written as the micro sign."""
+    return F.translate(unit, "\u03bc", "\u00b5")
+
+
 def convert_amounts(records: DataFrame, units: DataFrame, strict: bool = False) -> DataFrame:
     """Adds ``converted`` and ``error`` to rows of ``amount, unit, target_unit``.
 
     Units of one dimension convert by their factors; custom units only to themselves; anything else is an error, which
-    ``strict`` raises.
+    ``strict`` raises. Both code points of the micro sign are the same.
     """
-    side = lambda x: units.select(F.col("unit").alias(x), F.col("dimension").alias(f"_{x}_dim"), F.col("factor_to_base").alias(f"_{x}_f"))
-    joined = records.join(side("unit"), "unit", "left").join(side("target_unit"), "target_unit", "left")
+    known = units.groupBy(_one_micro("unit").alias("_u")).agg(F.min("dimension").alias("_d"), F.min("factor_to_base").alias("_f"))
+    side = lambda x: known.select(F.col("_u").alias(f"_{x}"), F.col("_d").alias(f"_{x}_dim"), F.col("_f").alias(f"_{x}_f"))
+    keyed = records.withColumn("_unit", _one_micro("unit")).withColumn("_target_unit", _one_micro("target_unit"))
+    joined = keyed.join(side("unit"), "_unit", "left").join(side("target_unit"), "_target_unit", "left")
     custom = F.coalesce(F.col("unit").isin(*CUSTOM_UNITS), F.lit(False)) | F.coalesce(F.col("target_unit").isin(*CUSTOM_UNITS), F.lit(False))
     same = F.coalesce(F.col("unit") == F.col("target_unit"), F.lit(False))
     measured = ~custom & (F.col("_unit_dim") == F.col("_target_unit_dim"))
@@ -49,7 +56,7 @@ def convert_amounts(records: DataFrame, units: DataFrame, strict: bool = False)
     bad = F.coalesce(~((custom & same) | measured), F.lit(True))
     message = F.concat(F.lit("cannot convert "), F.coalesce("unit", F.lit("null")), F.lit(" to "), F.coalesce("target_unit", F.lit("null")))
     value = F.when(bad, F.raise_error(message).cast("double")).otherwise(converted) if strict else converted
-    return joined.withColumn("converted", value).withColumn("error", F.when(bad, message)).drop("_unit_dim", "_unit_f", "_target_unit_dim", "_target_unit_f")
+    return joined.withColumn("converted", value).withColumn("error", F.when(bad, message)).drop("_unit", "_target_unit", "_unit_dim", "_unit_f", "_target_unit_dim", "_target_unit_f")
 
 
 def days_of(timeframe: Column | str) -> Column:
@@ -95,3 +102,21 @@ def compare(extracted: DataFrame, guidelines: DataFrame) -> DataFrame:
 def guideline_index(guidelines: DataFrame) -> DataFrame:
     """Guidelines of each nutrient and group: the smallest and largest id and their number, combined before the shuffle."""
     return guidelines.groupBy("nutrient", "population_group").agg(F.count("*").alias("guidelines"), F.min("rec_id").alias("first_rec_id"), F.max("rec_id").alias("last_rec_id"))
+
+
+#: Guidelines in one list of the multimap, about.
+LISTED = 1000
+
+
+def guideline_lists(guidelines: DataFrame, most: int = LISTED) -> DataFrame:
+    """``nutrient, population_group, list_no, rec_ids``: the guidelines of each key in ascending order.
+
+    A key with more than ``most`` guidelines has several lists, into which its ids are dealt by their hash, so that a key
+    that holds a large part of all rows fills no task; the keys are counted first, combined before the shuffle.
+    """
+    key = ["nutrient", "population_group"]
+    sizes = guidelines.groupBy(*key).agg(F.floor((F.count("*") - 1) / most).cast("int").alias("last"))
+    left, right = guidelines.select(*key, "rec_id"), sizes.select(F.col("nutrient").alias("_n"), F.col("population_group").alias("_g"), "last")
+    dealt = left.join(right, left.nutrient.eqNullSafe(right._n) & left.population_group.eqNullSafe(right._g))
+    number = F.pmod(F.xxhash64("rec_id"), F.col("last") + 1).cast("int")
+    return dealt.groupBy(*key, number.alias("list_no")).agg(F.sort_array(F.collect_list("rec_id")).alias("rec_ids"))

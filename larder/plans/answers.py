@@ -105,17 +105,17 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared"), F.xxhash64("v").alias("checksum"))
 
 
-@registry.add("vector_index")
+@registry.add("vector_index", "SELECT count(*) AS vectors, 64 AS width FROM documents")
 def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and width of a stored vector table, built once and found again by the content of its chunks."""
     source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     folder = json_io.scratch_path(spark, "index")
     vectors.load_or_build(spark, source, folder, retrieval.hash_embedding)
-    again = vectors.load_or_build(spark, source, folder, retrieval.hash_embedding)
+    again = vectors.retriever(spark, source, folder, retrieval.hash_embedding)
     return again.agg(F.count("*").alias("vectors"), F.max(F.size("vector")).alias("width"))
 
 
-@registry.add("generate_stub")
+@registry.add("generate_stub", f"WITH {RESULTS}, p AS ({_PROMPT}) SELECT p.query_id, coalesce(r.query, '') || ' [' || length(p.prompt) || ']' AS answer, NULL::VARCHAR AS error FROM p JOIN results r ON r.query_id = p.query_id")
 def generate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.generate(build_prompt(spark, sf_dir))
 
@@ -154,9 +154,9 @@ def query_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("rag_results", f"""WITH {RESULTS}, p AS ({_PROMPT}) SELECT p.query_id, r.query, coalesce(r.query, '') || ' [' || length(p.prompt) || ']' AS answer, coalesce(len(r.contexts), 0)::BIGINT AS n_contexts FROM p JOIN results r ON r.query_id = p.query_id""")
 def rag_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query, generated answer and contexts of every query, with the stand-in generator."""
-    asked = results(spark, sf_dir, "query", "contexts")
-    answers = generation.generate(asked.select("query_id", retrieval.prompt("query", "contexts").alias("prompt")))
-    return asked.join(answers, "query_id").select("query_id", "query", "answer", F.coalesce(F.size("contexts"), F.lit(0)).cast("bigint").alias("n_contexts"))
+    asked = results(spark, sf_dir, "query", "contexts").withColumn("prompt", retrieval.prompt("query", "contexts"))
+    answers = generation.generate(asked.withColumn("n_contexts", F.coalesce(F.size("contexts"), F.lit(0)).cast("bigint")), carried=("query", "n_contexts"))
+    return answers.select("query_id", "query", "answer", "n_contexts")
 
 
 @registry.add("extract_numbers", rf"""WITH {RESULTS} SELECT query_id, i::BIGINT AS position, TRY_CAST(x AS HUGEINT)::VARCHAR AS number FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
-from larder.functions.page import page_text
+from larder.functions.page import decoded, page_text
 from larder.operators import chunking, cleaning
 from larder.plans.registry import Registry
 from larder.sources import files, json_io
@@ -93,7 +93,7 @@ def basic_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("filter_low_content", rf"""WITH {CHUNKS}, p AS (SELECT chunk_id, text, {sql_strip('text')} AS s FROM chunks)
 SELECT chunk_id FROM p WHERE length(s) > 0 AND length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) >= 0.5 * length(s)""")
 def filter_low_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.drop_poor_pages(chunks(spark, sf_dir, "text")).select("chunk_id")
+    return cleaning.drop_poor_pages(table(spark, sf_dir, "all_chunks").select("chunk_id", "text")).select("chunk_id").distinct()
 
 
 _KEPT_LINES = f"""split AS (SELECT doc_id, chunk_no AS page_no, unnest({SQL_LINES}) AS raw, generate_subscripts({SQL_LINES}, 1) AS line_no FROM chunks WHERE text IS NOT NULL),
@@ -115,11 +115,45 @@ def remove_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("pdf_clean_pipeline")
 def pdf_clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as one cleaned text; a document whose pages all go has no row."""
+    """Each document as one cleaned text, a long one as several; a document whose pages all go has no row."""
     pdf = chunks(spark, sf_dir, "doc_id", "chunk_no", "text", "metadata").where("metadata.doc_type = 'PDF'").select("doc_id", F.col("chunk_no").alias("page_no"), "text")
     return cleaning.clean_documents(pdf)
 
 
+@registry.add("decode_bytes", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts read back from bytes, each with an invalid byte at its start and end."""
+    invalid = F.unhex(F.lit("FF"))
+    content = F.concat(invalid, F.encode("text", "UTF-8"), invalid)
+    return _texts(spark, sf_dir).select("doc_id", decoded(content).alias("text"))
+
+
+@registry.add("unescape_compose", "SELECT doc_id, doc_type || ' & fi 2 ' || chr(956) || 'g <b> 1 Aß' AS text FROM documents")
+def unescape_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities resolved once and compatibility forms composed."""
+    dirty = F.concat("doc_type", F.lit(" &amp; \ufb01 \u00b2 \u00b5g &lt;b&gt;\u00a0\uff11 A&szlig;"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.unescape_and_compose(dirty).alias("text"))
+
+
+_PROSE = "repeat('Absatz ' || doc_id || ' mit Text. ', 12)"
+
+
+@registry.add("html_tiers", f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN trim({_PROSE}) WHEN 1 THEN 'Kopf ' || trim({_PROSE}) WHEN 2 THEN 'kurz ' || trim({_PROSE}) WHEN 3 THEN 'knapp' WHEN 4 THEN 'Titel ' || trim({_PROSE}) ELSE '' END AS text FROM documents""")
+def html_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page for each way to the main content: article, captured source, body, last short container, whole page, none."""
+    prose = F.expr(_PROSE)
+    captured = F.concat(F.lit("&lt;!DOCTYPE html&gt;&lt;html&gt;&lt;title&gt;Kopf&lt;/title&gt;&lt;nav&gt;Start&lt;/nav&gt;&lt;p&gt;"), prose, F.lit("&lt;/p&gt;&lt;/html&gt;"))
+    page = (
+        F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("<body><nav>Start</nav><article><script>x()</script><p>"), prose, F.lit("</article><footer>Ende</footer></body>")))
+        .when(F.col("doc_id") % 6 == 1, F.concat(F.lit("<body><p>davor</p><pre>"), captured, F.lit("</pre></body>")))
+        .when(F.col("doc_id") % 6 == 2, F.concat(F.lit("<body><article>kurz</article><p>"), prose, F.lit("</p><button>Los</button></body>")))
+        .when(F.col("doc_id") % 6 == 3, F.lit("<article>kurz</article><main>knapp</main>"))
+        .when(F.col("doc_id") % 6 == 4, F.concat(F.lit("<title>Titel</title><div>"), prose, F.lit("<!-- nie --></div>")))
+        .otherwise(F.lit(""))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", page_text(page).alias("text"))
+
+
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("<html><head><title>"), F.col("doc_type"), F.lit("</title></head><body><nav>Start</nav><article><p>"))
     body = F.concat(title, F.regexp_replace("text", "\n", "</p><p>"), F.lit("</article><footer>&copy; Larder</footer></body></html>"))
@@ -169,9 +203,9 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("chunk_text")
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence-aware chunks with their document's metadata; at most 120 tokens, at most 24 of them shared."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "doc_type")
-    return chunking.chunk_documents(documents, 120, 24)
+    """Sentence-aware chunks with their document's metadata, which counts; at most 120 tokens, at most 24 of them shared."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.struct("source", "doc_type").alias("metadata"))
+    return chunking.chunk_documents(documents, 120, 24, "metadata").select("doc_id", "chunk_no", "text", "metadata.source", "metadata.doc_type")
 
 
 @registry.add("chunk_counts", f"WITH {CHUNKS} SELECT doc_type, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM chunks GROUP BY doc_type")

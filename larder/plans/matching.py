@@ -49,7 +49,7 @@ _TARGET = "CASE rec_id % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'µg' WHEN 2 THEN 'kJ' EL
 
 @registry.add("normalize_amount", f"""WITH {RECORDS}, r AS (SELECT rec_id, amount, unit, {_TARGET} AS target_unit FROM records),
 j AS (SELECT r.*, u.dimension AS d1, u.factor_to_base AS f1, t.dimension AS d2, t.factor_to_base AS f2, coalesce(r.unit IN ('%E', '%DV', 'portions', 'IU'), false) OR coalesce(r.target_unit IN ('%E', '%DV', 'portions', 'IU'), false) AS custom
-  FROM r LEFT JOIN measure_unit u ON u.unit = r.unit LEFT JOIN measure_unit t ON t.unit = r.target_unit)
+  FROM r LEFT JOIN measure_unit u ON u.unit = translate(r.unit, 'μ', 'µ') LEFT JOIN measure_unit t ON t.unit = translate(r.target_unit, 'μ', 'µ'))
 SELECT rec_id, round(CASE WHEN custom AND unit = target_unit THEN amount WHEN NOT custom AND d1 = d2 THEN amount * f1 / f2 END, 9) AS converted,
  NOT coalesce((custom AND unit = target_unit) OR (NOT custom AND d1 = d2), false) AS failed FROM j""")
 def normalize_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,15 @@ def compare_guidelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guidelines.compare(*_sides(spark, sf_dir))
 
 
+@registry.add("guideline_lists", f"""WITH {RECORDS} SELECT nutrient, no_group, sex, age_min, age_max, life_stage, rec_id FROM records
+WHERE starts_with(source, 'leitwerte') AND nutrient IS NOT NULL""")
+def guideline_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lists of guidelines of each nutrient and group hold."""
+    made = guidelines.guideline_lists(_sides(spark, sf_dir)[1])
+    group = [F.col(f"population_group.{c}").alias(c) for c in ("sex", "age_min", "age_max", "life_stage")]
+    return made.select("nutrient", F.col("population_group").isNull().alias("no_group"), *group, F.explode("rec_ids").alias("rec_id"))
+
+
 @registry.add("guideline_index", f"""WITH {RECORDS} SELECT nutrient, no_group, sex, age_min, age_max, life_stage, count(*) AS guidelines, min(rec_id) AS first_rec_id, max(rec_id) AS last_rec_id FROM records
 WHERE starts_with(source, 'leitwerte') AND nutrient IS NOT NULL GROUP BY ALL""")
 def guideline_index(spark: SparkSession, sf_dir: str) -> DataFrame:

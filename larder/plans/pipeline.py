@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import os
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ registry = Registry()
 
 @dataclass(frozen=True)
 class Settings:
-    """What may be chosen for a run."""
+    """What may be chosen for a run. ``of`` reads the numbers from the session (``larder.chunk_size``) and, where it has none,
+    from the environment (``LARDER_CHUNK_SIZE``)."""
 
     chunk_size: int = chunking.SIZE
     chunk_overlap: int = chunking.OVERLAP
@@ -29,9 +31,14 @@ class Settings:
     in_flight: int = generation.IN_FLIGHT
     template: retrieval.PromptTemplate = field(default_factory=retrieval.PromptTemplate)
 
+    @classmethod
+    def of(cls, spark: SparkSession, environment: Mapping[str, str] = os.environ) -> Settings:
+        found = {f.name: spark.conf.get(f"larder.{f.name}", environment.get(f"LARDER_{f.name.upper()}")) for f in fields(cls) if f.type == "int"}
+        return cls(**{name: int(value) for name, value in found.items() if value is not None})
+
 
 def chunks_of_files(scanned: DataFrame, pages: Callable[[bytes], list[str]], tables: Callable[[bytes], list[list[list[str]]]], root: str, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, chunk_no, text, metadata, error`` of scanned files: HTML by tiers, PDF by pages, PDF_table by tables.
+    """``doc_id, part_no, chunk_no, text, metadata, error`` of scanned files: HTML by tiers, PDF by pages, PDF_table by tables.
 
     A file that cannot be read is a row with its error and no text. Readers of PDF are passed in.
     """
@@ -44,11 +51,11 @@ def chunks_of_files(scanned: DataFrame, pages: Callable[[bytes], list[str]], tab
     markdown = markdown_table(F.from_json("text", "array<array<string>>"))
     listed = F.array_sort(F.collect_list(F.when(markdown.isNotNull(), F.struct("page_no", markdown.alias("m")))))
     tabled = cells.groupBy("doc_id").agg(F.array_join(listed["m"], "\n\n").alias("text"), F.max("error").alias("error"))
-    texts = html.unionByName(good).unionByName(bad).unionByName(tabled)
+    texts = html.unionByName(good, True).unionByName(bad, True).unionByName(tabled, True).fillna(0, ["part_no"])
     meta = scanned.select("doc_id", files.metadata_of("path", "doc_type", root).alias("metadata"))
     known = texts.join(meta, "doc_id")
-    cut = chunking.chunk_documents(known.where("error is null").select("doc_id", "text", "metadata"), settings.chunk_size, settings.chunk_overlap)
-    return cut.withColumn("error", F.lit(None).cast("string")).unionByName(known.where("error is not null").select("doc_id", "metadata", F.lit(0).alias("chunk_no"), "text", "error"))
+    cut = chunking.chunk_documents(known.where("error is null").select("doc_id", "part_no", "text", "metadata"), settings.chunk_size, settings.chunk_overlap, "metadata")
+    return cut.withColumn("error", F.lit(None).cast("string")).unionByName(known.where("error is not null").select("doc_id", "part_no", "metadata", F.lit(0).alias("chunk_no"), "text", "error"))
 
 
 def _as_json(rows: list[list[str]]) -> str:
@@ -63,8 +70,8 @@ def answers_to(queries: DataFrame, chunks: DataFrame, embed=retrieval.hash_embed
     asked = queries.select("query_id", embed("query").alias("vector"))
     ranked = retrieval.nearest(corpus, asked, settings.top_k)
     known = queries.join(retrieval.contexts_of(ranked, chunks), "query_id", "left")
-    prompts = known.select("query_id", retrieval.prompt("query", "contexts", settings.template).alias("prompt"))
-    return known.join(generation.generate(prompts, generator, settings.in_flight), "query_id").select("query_id", "query", "answer", "contexts", "error")
+    prompts = known.select("query_id", "query", "contexts", retrieval.prompt("query", "contexts", settings.template).alias("prompt"))
+    return generation.generate(prompts, generator, settings.in_flight, ("query", "contexts")).select("query_id", "query", "answer", "contexts", "error")
 
 
 @registry.add("pipeline_end_to_end")

@@ -43,9 +43,15 @@ def export_array(df: DataFrame, path: str) -> int:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
+    """A new folder under the shared checkpoint folder, which is deleted when the driver ends: results that are still lazy
+    may read it until then."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def chunk_rows(chunks: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a table may have at most to be sent to every task; larger ones take the join path.
-BROADCAST_ROWS = 20_000
+#: Rows and bytes of text that a table may have at most to be sent to every task; larger ones take the join path.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 64 << 20
+#: Keys delivered more than once that may be sent to every task.
+BROADCAST_KEYS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_rows(df: DataFrame, most: int = BROADCAST_ROWS) -> list | None:
-    """The rows of ``df`` if it has at most ``most``, else None: the check before anything is broadcast."""
-    rows = df.limit(most + 1).collect()
-    return rows if len(rows) <= most else None
+def bounded_rows(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> list | None:
+    """The rows of ``df`` if it has at most ``most`` with at most ``most_bytes`` of text, else None: the check before anything
+    is broadcast. Nothing is collected before both are known."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    size = df.limit(most + 1).agg(F.count("*").alias("n"), F.sum(sum(texts, F.lit(0))).alias("bytes")).first()
+    return df.collect() if size["n"] <= most and (size["bytes"] or 0) <= most_bytes else None
 
 
 def delivered(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
@@ -30,7 +34,20 @@ def first_delivery(df: DataFrame, key: str, order: str = "loaded_at") -> DataFra
 
     Rows delivered again repeat the earlier one in everything but ``order``. Null keys are kept as one group;
     a null ``order`` counts as last, ties give the smaller row by its other columns that can be ordered.
+
+    The keys are counted first, which moves nothing else. Where those that came more than once are few, which is checked, they
+    are sent to every task, and only their rows are shuffled; otherwise all rows are.
     """
+    again = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_again"))
+    rows = bounded_rows(again, BROADCAST_KEYS)
+    if rows is None:
+        return _first(df, key, order)
+    known = F.broadcast(df.sparkSession.createDataFrame(rows, again.schema))
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    return df.join(known, same, "left_anti").unionByName(_first(df.join(known, same, "left_semi"), key, order))
+
+
+def _first(df: DataFrame, key: str, order: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     orderable = [c for c in rest if c != order and "map<" not in dict(df.dtypes)[c]]
     rank = F.struct(F.col(order).isNull(), F.col(order), *[F.col(c) for c in orderable])

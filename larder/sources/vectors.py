@@ -15,6 +15,19 @@ def content_key(chunks: DataFrame) -> str:
     return f"{row['n']}-{(row['x'] or 0) & (1 << 64) - 1:016x}-{int(row['s'] or 0) & (1 << 64) - 1:016x}"
 
 
+#: Retrievers of a session, by the folder of their index.
+_OPEN: dict[tuple[str, str], DataFrame] = {}
+
+
+def retriever(spark: SparkSession, chunks: DataFrame, folder: str, embed: Callable, again: bool = False) -> DataFrame:
+    """The index of a folder, opened once a session: later calls neither hash the chunks nor look for a new version of them,
+    which only ``again`` does."""
+    key = (spark.sparkContext.applicationId, folder)
+    if again or key not in _OPEN:
+        _OPEN[key] = load_or_build(spark, chunks, folder, embed)
+    return _OPEN[key]
+
+
 def load_or_build(spark: SparkSession, chunks: DataFrame, folder: str, embed: Callable) -> DataFrame:
     """``id, vector`` of ``chunks(chunk_id, text)``, from the folder if it holds an index of just these chunks, else built,
     stored as Parquet under their key, and read back. ``embed`` maps a text column to a vector column."""

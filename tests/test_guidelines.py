@@ -46,3 +46,19 @@ def test_aliases(spark):
     folded = {r["rec_id"]: r["nutrient_id"] for r in guidelines.canonical_nutrient(df, aliases).collect()}
     exact = {r["rec_id"]: r["nutrient_id"] for r in guidelines.canonical_nutrient(df, aliases, fold=False).collect()}
     assert folded == {1: "min_iron", 2: "min_iron", 3: "min_iron", 4: None, 5: None, 6: None} and exact == {1: "min_iron", 2: None, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_lists(spark):
+    schema = f"rec_id bigint, nutrient string, population_group {GROUP}"
+    rows = [(i, "iron", None) for i in range(500)] + [(900, "zinc", ("female", None, None, None)), (901, None, None)]
+    got = guidelines.guideline_lists(spark.createDataFrame(rows, schema), 100).collect()
+    iron = [r for r in got if r["nutrient"] == "iron"]
+    assert len(iron) == 5 and sorted(i for r in iron for i in r["rec_ids"]) == list(range(500)) and max(len(r["rec_ids"]) for r in iron) < 150
+    assert [r["rec_ids"] for r in got if r["nutrient"] != "iron"] in ([[900], [901]], [[901], [900]])
+
+
+def test_both_micro_signs(spark):
+    units = spark.createDataFrame(UNITS, "unit string, dimension string, factor_to_base double")
+    df = spark.createDataFrame([(1, 1.0, "g", "\u03bcg"), (2, 1.0, "g", "\u00b5g"), (3, 5.0, "\u03bcg", "mg")], "i int, amount double, unit string, target_unit string")
+    got = {r["i"]: r["converted"] for r in guidelines.convert_amounts(df, units, strict=True).collect()}
+    assert got == {1: 1e6, 2: 1e6, 3: 0.005}

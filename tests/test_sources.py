@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.page import decoded
 from larder.operators.retrieval import hash_embedding
-from larder.sources import files, json_io, vectors
+from larder.sources import files, json_io, tables, vectors
 from larder.sources.tables import bounded_rows, first_delivery
 
 
@@ -55,3 +55,28 @@ def test_first_delivery(spark):
     got = first_delivery(spark.createDataFrame(rows, "id bigint, x string, loaded_at int"), "id").collect()
     assert sorted(((r["id"] or 0), r["x"]) for r in got) == [(0, "e"), (1, "a"), (2, "d")]
     assert bounded_rows(spark.range(5), 4) is None and len(bounded_rows(spark.range(4), 4)) == 4
+    long = spark.createDataFrame([("x" * 100,)] * 3, "text string")
+    assert bounded_rows(long, 4, 299) is None and len(bounded_rows(long, 4, 300)) == 3 and bounded_rows(long.where("false"), 4) == []
+
+
+def test_first_delivery_with_many_repeats(spark, monkeypatch):
+    """The same rows whether the repeated keys are sent to every task or all rows are shuffled."""
+    rows = [(i % 40, f"t{i % 40}", i) for i in range(100)] + [(None, "n", 1), (None, "n", 0)]
+    df = spark.createDataFrame(rows, "id bigint, x string, loaded_at int")
+    few = sorted(map(str, first_delivery(df, "id").collect()))
+    monkeypatch.setattr(tables, "BROADCAST_KEYS", 3)
+    assert few == sorted(map(str, first_delivery(df, "id").collect())) and len(few) == 41
+
+
+def test_retriever_is_opened_once(spark, tmp_path):
+    a = spark.createDataFrame([(1, "Eisen")], "chunk_id bigint, text string")
+    b = spark.createDataFrame([(1, "Eisen"), (2, "Jod")], "chunk_id bigint, text string")
+    assert vectors.retriever(spark, a, str(tmp_path), hash_embedding) is vectors.retriever(spark, b, str(tmp_path), hash_embedding)
+    assert vectors.retriever(spark, b, str(tmp_path), hash_embedding, again=True).count() == 2
+
+
+def test_scratch_is_marked_for_deletion(spark):
+    path = json_io.scratch_path(spark, "x")
+    spark.range(1).write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    assert target.getFileSystem(spark._jsc.hadoopConfiguration()).cancelDeleteOnExit(target)
