@@ -9,7 +9,7 @@ from larder.functions.text import numbers
 from larder.operators import evaluation, generation, retrieval
 from larder.plans.registry import Registry
 from larder.sources import json_io, vectors
-from larder.sources.tables import delivered, table
+from larder.sources.tables import delivered, spread, table
 
 registry = Registry()
 
@@ -101,7 +101,7 @@ def inline_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("hash_embed")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An embedding of each document, as its width, length and a checksum."""
-    made = table(spark, sf_dir, "documents").select("doc_id", retrieval.hash_embedding("text").alias("v"))
+    made = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", retrieval.hash_embedding("text").alias("v"))
     return made.select("doc_id", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared"), F.xxhash64("v").alias("checksum"))
 
 

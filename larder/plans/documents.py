@@ -10,7 +10,7 @@ from larder.functions.page import decoded, page_text
 from larder.operators import chunking, cleaning
 from larder.plans.registry import Registry
 from larder.sources import files, json_io
-from larder.sources.tables import delivered, table
+from larder.sources.tables import delivered, spread, table
 
 registry = Registry()
 
@@ -87,13 +87,13 @@ def collapse_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("basic_clean")
 def basic_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean("text").alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.clean("text").alias("text"))
 
 
 @registry.add("filter_low_content", rf"""WITH {CHUNKS}, p AS (SELECT chunk_id, text, {sql_strip('text')} AS s FROM chunks)
 SELECT chunk_id FROM p WHERE length(s) > 0 AND length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) >= 0.5 * length(s)""")
 def filter_low_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.drop_poor_pages(table(spark, sf_dir, "all_chunks").select("chunk_id", "text")).select("chunk_id").distinct()
+    return cleaning.drop_poor_pages(spread(table(spark, sf_dir, "all_chunks").select("chunk_id", "text"))).select("chunk_id").distinct()
 
 
 _KEPT_LINES = f"""split AS (SELECT doc_id, chunk_no AS page_no, unnest({SQL_LINES}) AS raw, generate_subscripts({SQL_LINES}, 1) AS line_no FROM chunks WHERE text IS NOT NULL),
@@ -157,7 +157,7 @@ def html_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("<html><head><title>"), F.col("doc_type"), F.lit("</title></head><body><nav>Start</nav><article><p>"))
     body = F.concat(title, F.regexp_replace("text", "\n", "</p><p>"), F.lit("</article><footer>&copy; Larder</footer></body></html>"))
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", body.alias("html"))
+    return spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "doc_type", "text")).select("doc_id", body.alias("html"))
 
 
 @registry.add("html_clean")
@@ -204,7 +204,7 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("chunk_text")
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence-aware chunks with their document's metadata, which counts; at most 120 tokens, at most 24 of them shared."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.struct("source", "doc_type").alias("metadata"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.struct("source", "doc_type").alias("metadata")))
     return chunking.chunk_documents(documents, 120, 24, "metadata").select("doc_id", "chunk_no", "text", "metadata.source", "metadata.doc_type")
 
 

@@ -15,7 +15,7 @@ from larder.operators import chunking, cleaning, evaluation, generation, retriev
 from larder.plans.answers import QUESTIONS
 from larder.plans.registry import Registry
 from larder.sources import files
-from larder.sources.tables import table
+from larder.sources.tables import spread, table
 
 registry = Registry()
 
@@ -77,7 +77,7 @@ def answers_to(queries: DataFrame, chunks: DataFrame, embed=retrieval.hash_embed
 @registry.add("pipeline_end_to_end")
 def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into chunks, embedded, searched for our own questions, answered and scored by the stand-ins."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", clean("text").alias("text"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", clean("text").alias("text"))
     chunks = chunking.chunk_documents(documents).select((F.col("doc_id") * 1000 + F.col("chunk_no")).alias("id"), "text")
     queries = spark.createDataFrame([(i, q) for i, q in enumerate(QUESTIONS)], "query_id bigint, query string")
     scored = evaluation.evaluated(answers_to(queries, chunks), generation.stub_judge, generation.stub_judge)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of text that a table may have at most to be sent to every task; larger ones take the join path.
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 64 << 20
-#: Keys delivered more than once that may be sent to every task.
-BROADCAST_KEYS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,20 +32,7 @@ def first_delivery(df: DataFrame, key: str, order: str = "loaded_at") -> DataFra
 
     Rows delivered again repeat the earlier one in everything but ``order``. Null keys are kept as one group;
     a null ``order`` counts as last, ties give the smaller row by its other columns that can be ordered.
-
-    The keys are counted first, which moves nothing else. Where those that came more than once are few, which is checked, they
-    are sent to every task, and only their rows are shuffled; otherwise all rows are.
     """
-    again = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_again"))
-    rows = bounded_rows(again, BROADCAST_KEYS)
-    if rows is None:
-        return _first(df, key, order)
-    known = F.broadcast(df.sparkSession.createDataFrame(rows, again.schema))
-    same = F.col(key).eqNullSafe(F.col("_again"))
-    return df.join(known, same, "left_anti").unionByName(_first(df.join(known, same, "left_semi"), key, order))
-
-
-def _first(df: DataFrame, key: str, order: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     orderable = [c for c in rest if c != order and "map<" not in dict(df.dtypes)[c]]
     rank = F.struct(F.col(order).isNull(), F.col(order), *[F.col(c) for c in orderable])
@@ -55,6 +40,13 @@ def _first(df: DataFrame, key: str, order: str) -> DataFrame:
     return packed.select(*[key if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session has cores, where it has fewer: a small file of one row group would else
+    keep costly operators in one task. Tables of as many splits as there are cores, which all large ones have, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def code_points(column: Column | str) -> Column:
     """Length in code points, null as 0."""
     return F.coalesce(F.length(column), F.lit(0))

@@ -59,13 +59,8 @@ def test_first_delivery(spark):
     assert bounded_rows(long, 4, 299) is None and len(bounded_rows(long, 4, 300)) == 3 and bounded_rows(long.where("false"), 4) == []
 
 
-def test_first_delivery_with_many_repeats(spark, monkeypatch):
-    """The same rows whether the repeated keys are sent to every task or all rows are shuffled."""
-    rows = [(i % 40, f"t{i % 40}", i) for i in range(100)] + [(None, "n", 1), (None, "n", 0)]
-    df = spark.createDataFrame(rows, "id bigint, x string, loaded_at int")
-    few = sorted(map(str, first_delivery(df, "id").collect()))
-    monkeypatch.setattr(tables, "BROADCAST_KEYS", 3)
-    assert few == sorted(map(str, first_delivery(df, "id").collect())) and len(few) == 41
+def test_spread(spark):
+    assert tables.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 4 and tables.spread(spark.range(10).repartition(9)).rdd.getNumPartitions() == 9
 
 
 def test_retriever_is_opened_once(spark, tmp_path):
