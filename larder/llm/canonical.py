@@ -1,8 +1,10 @@
 """Mapping free-entered values to a canonical list.
 
-Values are deduplicated, normalised and turned into weighted character n-grams; an inverted index of n-grams (a join on the
-gram) gives the candidates, the weighted cosine scores them, and the best one is accepted above a threshold and by a
-margin over the best entry of any other id. An edit-distance check follows for the accepted ones.
+Values are deduplicated, normalised and turned into weighted character n-grams. An inverted index of n-grams (a join on the
+gram) gives the candidates: grams are ordered from rare to frequent, and only those of a form enter the join whose rest of
+the form still weighs as much as the threshold, on both sides, which loses no pair above it. The weighted cosine of each
+candidate is then computed whole. An entry is accepted with a cosine above the threshold if an edit-distance check holds, and
+by a margin over the best entry of any other id that passes the same.
 """
 
 from __future__ import annotations
@@ -12,20 +14,20 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.llm.staging import staged
+
 #: Words that qualify a quantity without changing what is measured.
 QUALIFIERS = set("gesamt total davon of which dietary zufuhr intake the der die das von insgesamt summe".split())
 #: Weights of grams by length. Single letters would be in every posting list and are left to the edit check.
 GRAM_WEIGHTS = {2: 1.0, 3: 1.0}
 #: A gram in n entries weighs log(1 + RARITY / n).
 RARITY = 1000.0
-#: Smallest cosine of a candidate, and how many candidates of one form are scored further.
-LEAST_COSINE, CANDIDATES = 0.12, 16
-#: Smallest score (mean of cosine and kept share of letters), smallest lead over another id, smallest kept share.
-THRESHOLD, MARGIN, LEAST_KEPT = 0.47, 0.03, 0.65
+#: Smallest cosine, smallest lead over another id, smallest share of letters that an edit must keep.
+THRESHOLD, MARGIN, LEAST_KEPT = 0.25, 0.01, 0.65
 
 _DIGRAPH = re.compile(r"([aou])e")
 _WORD = re.compile(r"[^\W_]+")
@@ -47,7 +49,7 @@ def edits(a: str, b: str) -> int:
 
 
 def _vitamin(word: str) -> bool:
-    return word in ("vit", "vitamin") or 5 <= len(word) <= 9 and word[0] in "vitb" and edits(word, "vitamin") <= 2
+    return word in ("vit", "vitamin") or len(word) == 7 and edits(word, "vitamin") <= 1
 
 
 def _fold(text: str) -> str:
@@ -122,48 +124,63 @@ def _forms(values: pd.Series) -> pd.Series:
     return values.map(lambda v: [{"form": f, "grams": [{"gram": g, "weight": w} for g, w in grams(f).items()]} for f in forms(v)])
 
 
-@F.pandas_udf(T.DoubleType())
-def _kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([kept(x, y) for x, y in zip(a, b)], dtype="float64")
+@F.pandas_udf(T.StructType([T.StructField("cosine", T.DoubleType()), T.StructField("kept", T.DoubleType())]))
+def _compared(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """Cosine of a form and an entry, each with its grams and weights of length 1, and the kept share above the threshold."""
+    for forms_, entries, asked, known in batches:
+        out = []
+        for form, entry, a, b in zip(forms_, entries, asked, known):
+            weights = {x["gram"]: x["u"] for x in b}
+            cosine = sum(x["u"] * weights.get(x["gram"], 0.0) for x in a)
+            out.append((cosine, kept(form, entry) if cosine >= THRESHOLD else None))
+        yield pd.DataFrame(out, columns=["cosine", "kept"], dtype="float64")
 
 
 def _postings(df: DataFrame, column: str) -> DataFrame:
-    """``column, form, gram, weight`` of every form of every value."""
-    form = df.select(column, F.explode(_forms(column)).alias("f"))
-    return form.select(column, F.col("f.form").alias("form"), F.explode("f.grams").alias("g")).select(column, "form", "g.*")
+    """``column, form, grams`` of every form of every value."""
+    return df.select(column, F.explode(_forms(column)).alias("f")).select(column, "f.form", "f.grams")
+
+
+def _weighted(forms_: DataFrame, counts: DataFrame, unknown: Column) -> DataFrame:
+    """``form, gram, u, leads`` of distinct forms: weights scaled to length 1, and whether the gram is one of those that a
+    pair above the threshold must share, which is where the grams from it to the most frequent one still weigh as much."""
+    one = forms_.select("form", F.explode("grams").alias("g")).select("form", "g.gram", "g.weight")
+    heavy = one.join(counts, "gram", "left").select("form", "gram", F.coalesce("df", F.lit(0)).alias("df"), (F.col("weight") * F.coalesce("idf", unknown)).alias("w"))
+    whole = Window.partitionBy("form")
+    rest = whole.orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0)
+    square = F.col("w") * F.col("w")
+    length = F.sqrt(F.sum(square).over(whole))
+    behind = F.sqrt(F.sum(square).over(rest))
+    return heavy.select("form", "gram", (F.col("w") / length).alias("u"), (behind >= (THRESHOLD - 1e-9) * length).alias("leads"))
 
 
 def match_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     """``value, entry_id, score, lead`` for each distinct non-null ``value``; ``entry_id`` is null if no entry is meant.
 
     ``reference`` has ``alias, entry_id``. Nothing is broadcast by hand and nothing collected: the inverted index is an
-    equi-join on the gram, over distinct values only, so the size of the reference list and of the values may both grow;
-    Spark broadcasts the reference side where its own size estimate allows it. Ties between ids fall to the smaller lead
-    rule: without a lead over the second id a value stays unmatched. Values without letters or digits are unmatched.
+    equi-join on the gram, over distinct forms only, so the reference list and the values may both grow; Spark broadcasts
+    the reference side where its own size estimate allows it. All entries above the threshold are compared, however many.
+    Without a lead over the second id a value stays unmatched. Values without letters or digits are unmatched.
     """
-    entries = _postings(reference.where(F.col("alias").isNotNull()).select("alias").distinct(), "alias")
+    entries = staged(_postings(reference.where(F.col("alias").isNotNull()).select("alias").distinct(), "alias"))
+    asked = staged(_postings(values.select("value").distinct(), "value"))
     ids = reference.select("alias", "entry_id").where(F.col("entry_id").isNotNull()).distinct()
-    one = entries.select("form", "gram", "weight").distinct()
-    idf = one.groupBy("gram").agg(F.count("*").alias("df")).select("gram", F.log1p(F.lit(RARITY) / F.col("df")).alias("idf"))
-    weighted = one.join(idf, "gram").select("form", "gram", (F.col("weight") * F.col("idf")).alias("w"))
-    norm = weighted.groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = weighted.join(norm, "form").select(F.col("form").alias("entry"), "gram", (F.col("w") / F.col("norm")).alias("u"))
-
-    asked = _postings(values.select("value").distinct(), "value").join(idf, "gram", "left")
-    asked = asked.withColumn("w", F.col("weight") * F.coalesce(F.col("idf"), F.log1p(F.lit(RARITY))))
-    length = asked.groupBy("value", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    overlap = asked.where("idf is not null").join(index, "gram").groupBy("value", "form", "entry").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
-    cosine = overlap.join(length, ["value", "form"]).select("value", "form", "entry", (F.col("dot") / F.col("length")).alias("cosine"))
+    known, free = (x.select("form", "grams").distinct() for x in (entries, asked))
+    counts = known.select(F.explode("grams.gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).withColumn("idf", F.log1p(F.lit(RARITY) / F.col("df")))
+    index = _weighted(known, counts, F.lit(0.0))
+    sought = _weighted(free, counts, F.log1p(F.lit(RARITY)))
+    pairs = sought.where("leads").select("form", "gram").join(index.where("leads").select(F.col("form").alias("entry"), "gram"), "gram").select("form", "entry").distinct()
     same_code = F.substring_index("form", " #", -1) == F.substring_index("entry", " #", -1)
     coded = F.col("form").contains(" #") | F.col("entry").contains(" #")
-    nearest = Window.partitionBy("value", "form").orderBy(F.desc("cosine"), "entry")
-    near = cosine.where((F.col("cosine") >= LEAST_COSINE) & (~coded | same_code)).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= CANDIDATES)
-    scored = near.withColumn("kept", _kept("form", "entry")).where(F.col("kept") >= LEAST_KEPT)
+    spans = lambda f: (F.length(f), F.length(F.replace(f, F.lit(" "), F.lit(""))))
+    near = [F.least(x, y) >= LEAST_KEPT * F.greatest(x, y) - 1e-9 for x, y in zip(*(spans(F.substring_index(c, " #", 1)) for c in ("form", "entry")))]
+    vectors = lambda df, name: df.groupBy(F.col("form").alias(name)).agg(F.collect_list(F.struct("gram", "u")).alias(f"{name}_grams"))
+    met = pairs.where((~coded | same_code) & (near[0] | near[1])).join(vectors(sought, "form"), "form").join(vectors(index, "entry"), "entry")
+    scored = met.select("form", "entry", _compared("form", "entry", "form_grams", "entry_grams").alias("c")).select("form", "entry", "c.*")
+    passed = scored.where((F.col("cosine") >= THRESHOLD) & (F.col("kept") >= LEAST_KEPT))
     named = entries.select("alias", F.col("form").alias("entry")).distinct().join(ids, "alias").select("entry", "entry_id").distinct()
-    by_id = scored.join(named, "entry").groupBy("value", "entry_id").agg(F.max((F.col("cosine") + F.col("kept")) / 2).alias("score"))
-    ranked = by_id.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("score", "entry_id")), False).alias("r"))
-    best = ranked.select("value", F.col("r")[0]["entry_id"].alias("best"), F.col("r")[0]["score"].alias("score"), (F.col("r")[0]["score"] - F.coalesce(F.try_element_at("r", F.lit(2))["score"], F.lit(0.0))).alias("lead"))
-    out = values.select("value").distinct().join(best, "value", "left")
-    accepted = (F.col("score") >= THRESHOLD) & (F.col("lead") >= MARGIN)
-    return out.select("value", F.when(accepted, F.col("best")).alias("entry_id"), "score", "lead")
+    by_id = asked.select("value", "form").join(passed.join(named, "entry"), "form").groupBy("value", "entry_id").agg(F.max("cosine").alias("score"))
+    order = Window.partitionBy("value").orderBy(F.desc("score"), "entry_id")
+    ranked = by_id.withColumn("lead", F.col("score") - F.coalesce(F.lead("score").over(order), F.lit(0.0))).withColumn("n", F.row_number().over(order))
+    best = ranked.where("n = 1").select("value", F.when(F.col("lead") >= MARGIN, F.col("entry_id")).alias("entry_id"), "score", "lead")
+    return values.select("value").distinct().join(best, "value", "left")
