@@ -157,4 +157,4 @@ def token_ids(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50
         for batch in batches:
             yield batch.map(encoder.encode)
 
-    return documents.select(key, ids(text).alias("ids"))
+    return spread(documents.select(key, text)).select(key, ids(text).alias("ids"))

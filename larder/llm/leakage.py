@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.words import WordHasher, windows
-from larder.sources.tables import bounded_rows
+from larder.sources.tables import bounded_rows, spread
 
 #: Words of a fingerprinted run, fingerprinted runs in a window, and words that make a case: RUN + WINDOW - 1 = CASE.
 RUN, WINDOW, CASE = 5, 6, 10
@@ -127,7 +127,7 @@ def _leaked_narrow(documents: DataFrame, rows: list, case: int) -> DataFrame:
             ids = batch["doc_id"].to_numpy()
             yield pd.DataFrame([(ids[d], items.ids[i], n) for (d, i), n in best.items() if n >= case], columns=["doc_id", "item_id", "words"])
 
-    found = documents.select("doc_id", "text").where("text is not null").mapInPandas(scan, "doc_id bigint, item_id bigint, words int")
+    found = spread(documents.select("doc_id", "text").where("text is not null")).mapInPandas(scan, "doc_id bigint, item_id bigint, words int")
     return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
 

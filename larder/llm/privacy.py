@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm.staging import staged
+from larder.sources.tables import spread
 
 #: Documents in which a strong cue must introduce a word before it counts as a known name.
 KNOWN_IN = 3
@@ -341,7 +342,7 @@ def _judged(documents: DataFrame) -> DataFrame:
     counts and the decision work on them. The gazetteer is a join, so it may be of any size; vote patterns are at most
     3**5 for each kind.
     """
-    texts = documents.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    texts = spread(documents.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("copy"), "text"))
     spans = staged(texts.mapInArrow(_proposals, _PROPOSED))
     key = ["doc_id", "copy", "start", "end"]
     names = spans.where("kind = 'name'").select(*key, "votes", F.explode("words").alias("word")).withColumn("word", F.initcap("word"))

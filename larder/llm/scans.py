@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm.staging import hash_sample, staged
-from larder.sources.tables import bounded_rows
+from larder.sources.tables import bounded_rows, spread
 
 #: Texts that the model is fitted on, at most, and rounds of hard EM.
 SAMPLE, ROUNDS = 4000, 3
@@ -394,7 +394,7 @@ def paragraphs(text: str, states, misread) -> str:
 
 def scans_of(chunks: DataFrame) -> DataFrame:
     """``chunk_id, text`` of PDF chunks that may be scanned pages: they have lines. The Python side looks closer."""
-    return _pdf(chunks).where(F.col("text").contains("\n")).select("chunk_id", "text")
+    return spread(_pdf(chunks).where(F.col("text").contains("\n")).select("chunk_id", "text"))
 
 
 def _pdf(chunks: DataFrame) -> DataFrame:
@@ -420,7 +420,7 @@ def _undone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def misread_words(chunks: DataFrame) -> DataFrame:
     """``word, right`` of every word of the corpus that is a misreading of a far more frequent one."""
-    counts = staged(chunks.select("text").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = staged(spread(chunks.select("text")).mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     undone = counts.mapInPandas(_undone, "word string, n bigint, right string")
     frequent = counts.where(F.col("n") >= LEAST).select(F.col("word").alias("right"), F.col("n").alias("right_n"))
     good = undone.join(frequent, "right").where(F.col("right_n") >= TIMES * F.col("n"))

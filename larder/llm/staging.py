@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.session import ensure_checkpoint_dir
+from larder.sources.json_io import scratch_path
 
 #: Bits of the id filter; its size does not depend on the data.
 FILTER_BITS = 1 << 23
@@ -18,12 +16,11 @@ _CHUNK = 32768
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it again: it survives lost executors."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it again: it survives lost executors. The folder
+    is deleted when the driver ends."""
+    path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def may_hold(ids: DataFrame, column: str, bits: int = FILTER_BITS):
