@@ -18,13 +18,16 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.staging import may_hold, staged
 from larder.llm.words import WordHasher, windows
 from larder.sources.tables import bounded_rows, spread
 
 #: Words of a fingerprinted run, fingerprinted runs in a window, and words that make a case: RUN + WINDOW - 1 = CASE.
 RUN, WINDOW, CASE = 5, 6, 10
-#: Test items up to which the fingerprints of the test side go to every task.
+#: Test items up to which, within a checked number of bytes, the fingerprints of the test side go to every task.
 BROADCAST_ITEMS = 20_000
+#: Items with a fingerprint from which it is a common phrase.
+COMMON = 50
 
 _WORDS = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb\U000e0000-\U000e0fff]")
@@ -100,7 +103,7 @@ def leaked(documents: DataFrame, items: DataFrame, case: int = CASE) -> DataFram
     longest run. ``documents`` has ``doc_id, text`` and ``items`` has ``item_id, text``.
 
     Where the test side is small, which is checked, its fingerprints go to every task and one narrow pass winnows, joins
-    and extends; larger test sides are joined on the fingerprint and then on the ids. Null, empty and short texts are no
+    and extends; larger test sides are joined on the fingerprint with what stands around it, and texts move only for real hits. Null, empty and short texts are no
     case. Texts of fewer than ``case`` words on the test side cannot give a case.
     """
     rows = bounded_rows(items.where("text is not null").select("item_id", "text").distinct(), BROADCAST_ITEMS)
@@ -131,20 +134,50 @@ def _leaked_narrow(documents: DataFrame, rows: list, case: int) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
 
+def _around(flat: np.ndarray, counts: np.ndarray, owner: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """For each fingerprint the hashes of the runs of ``CASE`` words of its text that hold it."""
+    runs, of = windows(flat, counts, CASE)
+    number = np.maximum(counts - CASE + 1, 0)
+    first = np.cumsum(number) - number
+    low = np.maximum(place - (CASE - RUN), 0)
+    high = np.minimum(place + 1, number[owner])
+    return [runs[first[o] + a : first[o] + b] if b > a else runs[:0] for o, a, b in zip(owner.tolist(), low.tolist(), high.tolist())]
+
+
 def _fingerprints(df: DataFrame, key: str) -> DataFrame:
+    """``key, hash, around`` of the fingerprints of each text that lie in a run of ``CASE`` words, with the hashes of these."""
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for batch in batches:
-            owner, place, value = winnow(*hasher.flat([normal_words(t) for t in batch["text"]]))
-            yield pd.DataFrame({key: batch[key].to_numpy()[owner], "hash": value.view(np.int64)}).drop_duplicates()
+            flat, counts = hasher.flat([normal_words(t) for t in batch["text"]])
+            owner, place, value = winnow(flat, counts)
+            around = [x.view(np.int64) for x in _around(flat, counts, owner, place)]
+            made = pd.DataFrame({key: batch[key].to_numpy()[owner], "hash": value.view(np.int64), "around": around})
+            yield made[[len(x) > 0 for x in around]]
 
-    return df.select(key, "text").where("text is not null").mapInPandas(scan, f"{key} bigint, hash bigint")
+    return spread(df.select(key, "text").where("text is not null")).mapInPandas(scan, f"{key} bigint, hash bigint, around array<bigint>")
+
+
+def _hits(docs: DataFrame, tests: DataFrame) -> DataFrame:
+    """``doc_id, item_id`` that share a fingerprint and a whole run of ``CASE`` words around it.
+
+    A fingerprint that few items have is joined as it is, and hits that do not agree around it go no further than the join. One
+    that many items have, a common phrase, is joined by the runs around it instead, so that only real cases come out of it.
+    """
+    common = staged(tests.select("item_id", "hash").distinct().groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("hash"))
+    rare = docs.join(common, "hash", "left_anti").join(tests.join(common, "hash", "left_anti").withColumnRenamed("around", "other"), "hash")
+    agree = rare.where(F.arrays_overlap("around", "other")).select("doc_id", "item_id")
+    runs = lambda df, key: df.join(common, "hash").select(key, F.explode("around").alias("run")).distinct()
+    return agree.unionByName(runs(docs, "doc_id").join(runs(tests, "item_id"), "run").select("doc_id", "item_id")).distinct()
 
 
 def _leaked_joined(documents: DataFrame, items: DataFrame, case: int) -> DataFrame:
-    hits = _fingerprints(documents, "doc_id").join(_fingerprints(items, "item_id"), "hash").select("doc_id", "item_id").distinct()
-    docs = documents.where("text is not null").select("doc_id", F.col("text").alias("doc_text")).distinct()
-    tests = items.where("text is not null").select("item_id", F.col("text").alias("item_text")).distinct()
+    hits = staged(_hits(staged(_fingerprints(documents, "doc_id")), staged(_fingerprints(items, "item_id"))))
+    # only texts that are in a hit move
+    held = {key: may_hold(hits.select(key), key) for key in ("doc_id", "item_id")}
+    docs = documents.where("text is not null").where(held["doc_id"](F.col("doc_id"))).select("doc_id", F.col("text").alias("doc_text")).distinct()
+    tests = items.where("text is not null").where(held["item_id"](F.col("item_id"))).select("item_id", F.col("text").alias("item_text")).distinct()
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -331,6 +331,19 @@ def test_leaks(spark, monkeypatch, bound):
     assert leakage.leaked(docs.where("false"), items).count() == leakage.leaked(docs, items.where("false")).count() == 0
 
 
+def test_common_phrases(spark, monkeypatch):
+    """A phrase of nine words that all items and documents have gives no hit; one that many items have gives the real cases."""
+    monkeypatch.setattr(leakage, "BROADCAST_ITEMS", 0)
+    monkeypatch.setattr(leakage, "COMMON", 5)
+    phrase = "diese neun worte stehen in jedem text gleich da"
+    items = [(i, f"{phrase} eigen{i} nur{i} hier{i}") for i in range(20)]
+    docs = [(i, f"davor{i} {phrase} danach{i} noch{i}") for i in range(30)] + [(100 + i, f"x{i} {phrase} eigen{i} y") for i in range(20)]
+    got = leakage.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["words"]) for r in got) == [(100 + i, i, 10) for i in range(20)]
+    hits = leakage._hits(*(leakage._fingerprints(spark.createDataFrame(rows, f"{key} bigint, text string"), key) for rows, key in ((docs, "doc_id"), (items, "item_id"))))
+    assert hits.count() == 20
+
+
 def test_winnowing_guarantee():
     chosen = random.Random(8)
     hasher = leakage.WordHasher()
