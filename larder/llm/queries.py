@@ -43,7 +43,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.found_pairs(table(spark, sf_dir, "all_chunks"))
 
 
-@registry.add("p3_classes")
+@registry.add("p3_classes", sql.CLASSES)
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, class_id, links of every chunk with three words or more; the class is that of its near copies."""
     return neardup.classes(table(spark, sf_dir, "all_chunks"))
