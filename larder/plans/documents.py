@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from larder.functions import text as T
 from larder.functions.page import decoded, page_text
 from larder.operators import chunking, cleaning
 from larder.plans.registry import Registry
-from larder.sources import files, json_io
+from larder.sources import files, json_io, pdf
 from larder.sources.tables import delivered, spread, table
 
 registry = Registry()
@@ -193,6 +197,38 @@ def table_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("r_regionkey", F.coalesce(F.array_join(F.filter(given, lambda x: x.isNotNull()), "\n\n"), F.lit("")).alias("text"))
 
 
+def _sheets(spark: SparkSession, sf_dir: str, page: Callable[[list], list]) -> DataFrame:
+    """One PDF of the nations of each region: ``path, content``."""
+
+    @F.pandas_udf("binary")
+    def made(nations: pd.Series) -> pd.Series:
+        return nations.map(lambda rows: pdf.simple_pdf(page([(r["n_nationkey"], r["n_name"]) for r in rows])))
+
+    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(rows.alias("r")).select(F.col("n_regionkey").cast("string").alias("path"), made("r").alias("content"))
+
+
+@registry.add("pdf_pages", "SELECT n_regionkey::VARCHAR AS path, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS page_no, trim(n_name) || chr(10) || 'Nr. ' || n_nationkey AS text FROM nation")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of PDFs, read back: one page a nation."""
+    sheets = _sheets(spark, sf_dir, lambda rows: [([(50, 800, name.strip()), (50, 780, f"Nr. {key}")], []) for key, name in rows])
+    return files.read_pages(sheets, pdf.pages).select("path", "page_no", "text")
+
+
+def _ruled(rows: list) -> list:
+    cells = [("key", "nation"), *rows]
+    texts = [(54 + 100 * j, 786 - 20 * i, str(c).strip()) for i, row in enumerate(cells) for j, c in enumerate(row)]
+    across = [(50, 800 - 20 * i, 250, 800 - 20 * i) for i in range(len(cells) + 1)]
+    return [(texts, across + [(50 + 100 * j, 800, 50 + 100 * j, 800 - 20 * len(cells)) for j in range(3)])]
+
+
+@registry.add("pdf_tables", _TABLE_SQL.replace("SELECT n_regionkey,", "SELECT n_regionkey::VARCHAR AS path,"))
+def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ruled tables of PDFs, read back as Markdown: one table a region."""
+    found = files.read_pages(_sheets(spark, sf_dir, _ruled), lambda content: [json.dumps(t) for t in pdf.tables(content)])
+    return found.select("path", T.markdown_table(F.from_json("text", "array<array<string>>")).alias("markdown"))
+
+
 @registry.add("chunk_words", """WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 60) / 48.0), 0) AS BIGINT) + 1)) AS chunk_no FROM w WHERE len(w) > 0)
 SELECT doc_id, chunk_no, array_to_string(list_slice(w, chunk_no * 48 + 1, chunk_no * 48 + 60), ' ') AS text FROM c""")

@@ -14,7 +14,7 @@ from larder.functions.text import clean, markdown_table
 from larder.operators import chunking, cleaning, evaluation, generation, retrieval
 from larder.plans.answers import QUESTIONS
 from larder.plans.registry import Registry
-from larder.sources import files
+from larder.sources import files, pdf
 from larder.sources.tables import spread, table
 
 registry = Registry()
@@ -37,10 +37,10 @@ class Settings:
         return cls(**{name: int(value) for name, value in found.items() if value is not None})
 
 
-def chunks_of_files(scanned: DataFrame, pages: Callable[[bytes], list[str]], tables: Callable[[bytes], list[list[list[str]]]], root: str, settings: Settings = Settings()) -> DataFrame:
+def chunks_of_files(scanned: DataFrame, pages: Callable[[bytes], list[str]] = pdf.pages, tables: Callable[[bytes], list[list[list[str]]]] = pdf.tables, root: str = "", settings: Settings = Settings()) -> DataFrame:
     """``doc_id, part_no, chunk_no, text, metadata, error`` of scanned files: HTML by tiers, PDF by pages, PDF_table by tables.
 
-    A file that cannot be read is a row with its error and no text. Readers of PDF are passed in.
+    A file that cannot be read is a row with its error and no text. Any reader of PDF may be passed in.
     """
     scanned = scanned.withColumn("doc_id", F.xxhash64("path"))
     html = scanned.where("doc_type = 'HTML'").select("doc_id", clean(page_text(decoded("content"))).alias("text"), F.lit(None).cast("string").alias("error"))

@@ -49,7 +49,7 @@ def of_types(files: DataFrame, doc_types: dict[str, str] = DOC_TYPES) -> DataFra
 def read_pages(files: DataFrame, reader: Callable[[bytes], list[str]]) -> DataFrame:
     """``path, page_no, text, error``: pages of binary documents by any reader of bytes; a bad file is one row with its error.
 
-    No PDF library is assumed; the reader is passed in.
+    The reader is passed in: ``larder.sources.pdf`` has one for plain PDFs, and any other will do.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
