@@ -15,6 +15,12 @@ CAPTURES = {"pre", "xmp", "textarea"}
 #: Containers by preference, and the characters from which their text is enough.
 CONTAINERS = ("article", "main", "body")
 ENOUGH = 100
+#: What running text is not sought in, elements inside a line of text, and headings.
+APART = NOISE - VOID | {"table", "aside", "pre", "xmp", "textarea", "title", "select", "template", "figure"}
+INLINE = {"a", "abbr", "b", "cite", "code", "em", "i", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u", "wbr", "br"}
+HEADINGS = {"h1", "h2", "h3", "h4"}
+#: Characters from which a block is running text, and the most of it that may stand in links.
+BLOCK, LINKED = 60, 0.3
 
 
 class _Texts(HTMLParser):
@@ -67,6 +73,68 @@ def _parsed(source: str) -> _Texts:
     return parser
 
 
+class _Blocks(HTMLParser):
+    """The text of a page as blocks, each with the share of it that stands in links."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.skipped: list[str] = []
+        self.links = 0
+        self.blocks: list[list] = [["", 0, False]]
+
+    def _new(self, heading: bool) -> None:
+        if self.blocks[-1][0].strip():
+            self.blocks.append(["", 0, heading])
+        else:
+            self.blocks[-1][:] = ["", 0, heading]
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if tag in VOID:
+            return
+        if tag in APART:
+            self.skipped.append(tag)
+        elif tag == "a":
+            self.links += 1
+        elif tag not in INLINE:
+            self._new(tag in HEADINGS)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.skipped:
+            while self.skipped.pop() != tag:
+                pass
+        elif tag == "a":
+            self.links = max(0, self.links - 1)
+        elif tag not in INLINE:
+            self.links = 0
+            self._new(False)
+
+    def handle_data(self, data: str) -> None:
+        if not self.skipped:
+            self.blocks[-1][0] += data
+            self.blocks[-1][1] += len("".join(data.split())) if self.links else 0
+
+
+def dense_text(source: str | None) -> str:
+    """The running text of a page, one block a line: blocks long enough with few links, shorter ones between them, and the
+    headings right above them. Comments, tables and noise are left out. Null and empty pages give an empty text."""
+    reader = _Blocks()
+    reader.feed(source or "")
+    reader.close()
+    blocks = [(" ".join(text.split()), linked, heading) for text, linked, heading in reader.blocks if text.strip()]
+    running = [len(text) >= BLOCK and linked <= LINKED * len(text) for text, linked, _ in blocks]
+    kept = list(running)
+    for i, (text, linked, heading) in enumerate(blocks):
+        if heading and any(running[i + 1 : i + 2]) or not linked and any(running[max(0, i - 1) : i]) and any(running[i + 1 : i + 2]):
+            kept[i] = True
+    return "\n".join(text for (text, *_), k in zip(blocks, kept) if k)
+
+
+def densest_text(source: str | None) -> str:
+    """The running text of a page if it is enough, else its text by the other tiers."""
+    dense = dense_text(source)
+    return dense if len(dense) >= ENOUGH else main_text(source)
+
+
 def main_text(source: str | None) -> str:
     """Text of a page: a captured page source first, then the first sufficient container, the last existing one if none
     suffices, then the whole page; text nodes are joined by blanks. Null and empty pages give an empty text."""
@@ -88,6 +156,7 @@ def main_text(source: str | None) -> str:
     return content or " ".join(page.all)
 
 
+page_text_by_density = F.pandas_udf(lambda pages: pages.map(densest_text), T.StringType())
 page_text = F.pandas_udf(lambda pages: pages.map(main_text), T.StringType())
 
 

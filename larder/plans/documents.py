@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
-from larder.functions.page import decoded, page_text
+from larder.functions.page import decoded, page_text, page_text_by_density
 from larder.operators import chunking, cleaning
 from larder.plans.registry import Registry
 from larder.sources import files, json_io, pdf
@@ -158,6 +158,19 @@ def html_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", page_text(page).alias("text"))
 
 
+@registry.add("html_dense", f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Titel ' || doc_id || chr(10) || trim({_PROSE}) || chr(10) || 'kurz dazwischen' || chr(10) || trim({_PROSE}) WHEN 1 THEN trim({_PROSE}) ELSE 'nur kurz' END AS text FROM documents""")
+def html_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running text by density: link lists, tables and captions go, headings and short blocks inside stay; poor pages fall back."""
+    prose = F.expr(_PROSE)
+    links = F.lit("<div><a href='x'>Ein Link mit einem längeren Titel</a> <a href='y'>Noch ein Link mit einem längeren Titel</a></div>")
+    page = (
+        F.when(F.col("doc_id") % 3 == 0, F.concat(links, F.lit("<h1>Titel "), F.col("doc_id"), F.lit("</h1><p>"), prose, F.lit("</p><p>kurz <b>dazwischen</b></p><p>"), prose, F.lit("</p>"), links))
+        .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("<nav>"), links, F.lit("</nav><table><tr><td>"), prose, F.lit("</td></tr></table><div>"), prose, F.lit("<!-- nie --></div><p>Fuß</p>")))
+        .otherwise(F.lit("<body><p>nur kurz</body>"))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", page_text_by_density(page).alias("text"))
+
+
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("<html><head><title>"), F.col("doc_type"), F.lit("</title></head><body><nav>Start</nav><article><p>"))
     body = F.concat(title, F.regexp_replace("text", "\n", "</p><p>"), F.lit("</article><footer>&copy; Larder</footer></body></html>"))

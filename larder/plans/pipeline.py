@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.page import decoded, page_text
+from larder.functions.page import decoded, page_text, page_text_by_density
 from larder.functions.text import clean, markdown_table
 from larder.operators import chunking, cleaning, evaluation, generation, retrieval
 from larder.plans.answers import QUESTIONS
@@ -29,6 +29,7 @@ class Settings:
     chunk_overlap: int = chunking.OVERLAP
     top_k: int = retrieval.TOP_K
     in_flight: int = generation.IN_FLIGHT
+    by_density: bool = True
     template: retrieval.PromptTemplate = field(default_factory=retrieval.PromptTemplate)
 
     @classmethod
@@ -43,7 +44,7 @@ def chunks_of_files(scanned: DataFrame, pages: Callable[[bytes], list[str]] = pd
     A file that cannot be read is a row with its error and no text. Any reader of PDF may be passed in.
     """
     scanned = scanned.withColumn("doc_id", F.xxhash64("path"))
-    html = scanned.where("doc_type = 'HTML'").select("doc_id", clean(page_text(decoded("content"))).alias("text"), F.lit(None).cast("string").alias("error"))
+    html = scanned.where("doc_type = 'HTML'").select("doc_id", clean((page_text_by_density if settings.by_density else page_text)(decoded("content"))).alias("text"), F.lit(None).cast("string").alias("error"))
     read = files.read_pages(scanned.where("doc_type = 'PDF'"), pages).withColumn("doc_id", F.xxhash64("path"))
     good = cleaning.clean_documents(read.where("error is null").select("doc_id", "page_no", "text")).withColumn("error", F.lit(None).cast("string"))
     bad = read.where("error is not null").select("doc_id", F.lit(None).cast("string").alias("text"), "error")
