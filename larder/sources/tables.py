@@ -42,9 +42,12 @@ def first_delivery(df: DataFrame, key: str, order: str = "loaded_at") -> DataFra
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as the session has cores, where it has fewer: a small file of one row group would else
-    keep costly operators in one task. Tables of as many splits as there are cores, which all large ones have, stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    keep costly operators in one task. Tables of as many splits as there are cores, which all large ones have, stay as they are, and
+    so does what is shuffled anyway: nothing is run to find out."""
+    cores, query = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if query.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    return df.repartition(cores) if query.toRdd().getNumPartitions() < cores else df
 
 
 def code_points(column: Column | str) -> Column:
