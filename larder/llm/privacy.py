@@ -66,7 +66,6 @@ _HOUSE_AT = re.compile(r"(?<=\s)\d{1,4}(?![\d.,]\d)")
 _STREET_UP_TO = re.compile(rf"(?<![\wäöüß-]){_STREET}\s$")
 _EN_STREETS = ("Road", "Rd", "Street", "St.", "Close", "Lane", "Avenue", "Ave", "Way", "Drive", "Court", "Place", "Square", "Terrace", "Gardens", "Crescent", "Grove", "Hill", "Row", "Mews")
 _EN_ADDRESS = re.compile(rf"(?<![\w-])\d{{1,4}}[a-z]?\s{_WORD}(?:\s{_WORD}){{0,2}}\s(?:Road|Rd\.?|Street|St\.?|Close|Lane|Avenue|Ave\.?|Way|Drive|Court|Place|Square|Terrace|Gardens|Crescent|Grove|Hill|Row|Mews)\b(?P<place>,?\s{_WORD}(?:[\s-]{_WORD}){{0,3}},?\s(?:[A-Z]{{1,2}}\d[\dA-Z]?\s?\d[A-Z]{{2}}|(?:[A-Z]{{2}}\s)?\d{{5}}(?:-\d{{4}})?))?")
-_ADDRESS_BEFORE = re.compile(r"(?:wohnhaft(?: in)?|wohnt(?: in)?|wohnen(?: in)?|anschrift(?: für den \w+)?|adresse|versand|living at|lives? at|address)\W*$|[a-zäöüßA-ZÄÖÜ]{3,},?\s$", re.I)
 _STRONG_ADDRESS_BEFORE = re.compile(r"(?:wohnhaft(?: in)?|wohnt(?: in)?|anschrift(?: für den \w+)?|adresse|versand|living at|lives? at|address)\W*$", re.I)
 _AMOUNT_BEHIND = re.compile(r"^\s*(?:g|mg|µg|kg|ml|l|kcal|kJ|%|°|EL|TL|Prozent|Uhr|Euro|€|Minuten|Stunden|Tagen?|Wochen?|Jahren?|Haushalte|Fällen|Personen|Teilnehmer\w*|[A-ZÄÖÜ][a-zäöü]+(?:bäume|proben|kinder|menschen))\b|^%")
 # ---------------------------------------------------------------- name
