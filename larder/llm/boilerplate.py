@@ -34,6 +34,11 @@ BROADCAST_PATHS, GROUP_PAGES = 300_000, 4000
 #: Scores are counted in these parts; the key under which the pages of a host are counted.
 PARTS, EVERY = 1000, 0
 
+#: Characters of a part of a row of links, on average; a row of few parts may have as many as one of ``SHORT_ROW``.
+ROW_PART, SHORT_ROW = 40, 4
+#: Words of a path that is sought inside a line of paths without separators.
+JOINED = 12
+
 _ROW = re.compile(r"\s+(?:[>›»|·•/→])\s+|\s{2,}|\t")
 _END = re.compile(r"[.!?…][\"”“’»)\]]*$")
 _ITEM = re.compile(r"^(?:[-•*–]\s*)?\d+(?:[.,]\d+)?\s*(?:g|mg|µg|kg|ml|cl|dl|l|el|tl|stück|prisen?)\b", re.I)
@@ -59,7 +64,8 @@ def kind_of(line: str) -> str:
         return "b"
     if _ITEM.match(text) or _BULLET.match(text):
         return "i"
-    if len(text) <= 160 and len(_ROW.split(text)) > 1:
+    parts = len(_ROW.split(text))
+    if parts > 1 and len(text) <= ROW_PART * max(parts, SHORT_ROW):
         return "r"
     if len(text) <= 110 and (not _END.search(text) or text[-1] == "?" or len(text.split()) < 5):
         return "t"
@@ -178,13 +184,11 @@ class Reader:
     def _joined(self, line: str, won) -> bool:
         """Whether the line is winning paths side by side."""
         words = line.split()
-        if not 2 <= len(words) <= 14:
-            return False
         reach = {0}
         for start in range(len(words)):
             if start in reach:
-                reach.update(stop for stop in range(start + 1, min(start + 6, len(words)) + 1) if stop - start < len(words) and won(self.keys[" ".join(words[start:stop])]))
-        return len(words) in reach
+                reach.update(stop for stop in range(start + 1, min(start + JOINED, len(words)) + 1) if stop - start < len(words) and won(self.keys[" ".join(words[start:stop])]))
+        return len(words) > 1 and len(words) in reach
 
 
 _VOTES = ("pages", "score", "after", "opening", "item")

@@ -51,6 +51,15 @@ def test_furniture(spark, monkeypatch, bound):
     assert "Impressum" not in body[1] and "g Linsen" in body[1] and body[903] == PROSE.format(1)
 
 
+def test_long_rows():
+    """A row of many links is a row however long; one made of winning paths without separators is furniture too."""
+    names = [f"Thema{chr(97 + i)} und mehr" for i in range(20)]
+    assert boilerplate.kind_of(" · ".join(names)) == "r" and boilerplate.kind_of(PROSE.format(2) + " / " + PROSE.format(3)) == "s"
+    reader, won = boilerplate.Reader(), {boilerplate.path_key(x) for x in names}
+    joined = "\n".join([" ".join(names[:6]), " · ".join(names), "Eisen und mehr"])
+    assert reader.furniture(joined, won.__contains__, lambda key: False) == [1, 2]
+
+
 def test_container_scores():
     """Links score nothing, running text and the title above it nearly all, items nothing they are not."""
     reader = boilerplate.Reader()
