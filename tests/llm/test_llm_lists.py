@@ -8,7 +8,7 @@ import pytest
 from larder.llm import boilerplate, canonical, neardup
 from larder.llm.components import components
 from larder.llm.staging import may_hold, staged
-from larder.llm.words import WORD, WordHasher, hash64
+from larder.llm.words import WORD, WordHasher, hash64, word_hashes
 
 ALIASES = [("zinc", "min_zinc"), ("Zink", "min_zinc"), ("Kalium", "min_potassium"), ("potassium", "min_potassium"), ("vitamin B1", "vit_b1"), ("Vitamin B12", "vit_b12"), ("thiamine", "vit_b1"), ("Vitamin E", "vit_e"), ("gesättigte Fettsäuren", "mac_sfa"), ("einfach ungesättigte Fettsäuren", "mac_mufa"), ("Omega-3-Fettsäuren", "fa_omega3"), ("Omega-6-Fettsäuren", "fa_omega6"), ("Magnesium", "min_magnesium"), ("Mangan", "min_manganese"), ("riboflavin", "vit_b2")]
 MEANT = [
@@ -136,6 +136,37 @@ def test_short_copies(spark):
     assert {(0, 1), (0, 2), (0, 3)} <= got and (0, 4) not in got
 
 
+def test_many_copies(spark, monkeypatch):
+    """Texts that stand many times are made into features once, and every copy is in the pairs; also those of an id with two texts."""
+    base = [f"k{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join(base[:-2] + ["m", "n"]), " ".join(f"z{i}" for i in range(30)), "a b", None]
+    rows = [(10 * copy + i, t) for copy in range(12) for i, t in enumerate(texts)] + [(0, texts[2]), (0, texts[2])]
+    kept, made = neardup._without_copies(spark.createDataFrame(rows, "chunk_id bigint, text string"))
+    assert made == 4 and kept.count() < len(rows) / 4
+    sets = {}
+    for i, t in rows:
+        if t and len(t.split()) > 2:
+            sets.setdefault(i, []).append(sequences(t))
+    near = lambda a, b: any(len(x & y) >= 0.6 * len(x | y) for x in sets[a] for y in sets[b])
+    expected = sorted((a, b) for a in sets for b in sets if a < b and near(a, b))
+    df = spark.createDataFrame(rows, "chunk_id bigint, text string")
+    assert sorted(tuple(r) for r in neardup.found_pairs(df).collect()) == expected
+    monkeypatch.setattr(neardup, "REPEATED", 10**9)
+    assert sorted(tuple(r) for r in neardup.found_pairs(df).collect()) == expected
+
+
+def test_words_without_objects():
+    """Hashes of words equal each other where the words do, whatever the script, also over the ends of blocks."""
+    texts = ["", None, "a", "Ab1 ª² _x_y ÄÖ\ud800x İstanbul ΣΑΣ ΑΣ. Σ", "x" * 300_000 + " y", "\n\n", "٣٤ x ab1", "y-Äö A"] * 3
+    hashes, counts = word_hashes(texts)
+    words = [WORD.findall(t.lower()) if t else [] for t in texts]
+    assert counts.tolist() == list(map(len, words))
+    pairs = set(zip((w for ws in words for w in ws), hashes.tolist()))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    many = ["".join(chr(97 + i // 26**k % 26) for k in range(8)) for i in range(300_000)]
+    assert len(np.unique(word_hashes([" ".join(many)])[0])) == len(many)
+
+
 def test_hashes_do_not_collide():
     """A million words of one length keep a million hashes."""
     words = ["".join(chr(97 + i // 26**k % 26) for k in range(8)) for i in range(1_000_000)]
