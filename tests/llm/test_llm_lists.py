@@ -136,6 +136,16 @@ def test_short_copies(spark):
     assert {(0, 1), (0, 2), (0, 3)} <= got and (0, 4) not in got
 
 
+def test_all_texts_are_counted(spark):
+    """Every text counts in the order of the columns and in the number of entries."""
+    rows = corpus()
+    steps, entries = neardup._frequencies(spark.createDataFrame(rows, "chunk_id bigint, text string").repartition(3))
+    values = [v for _, t in rows if t for v in neardup._sequences([t])[1].tolist()]
+    n = np.bincount(np.array(values) % neardup.BUCKETS, minlength=neardup.BUCKETS)
+    assert entries == len(values) and (steps == np.minimum(255, 8 * np.log2(1 + n)).astype(np.uint8)).all()
+    assert neardup._frequencies(spark.createDataFrame([], "chunk_id bigint, text string"))[1] == 0
+
+
 def test_many_copies(spark, monkeypatch):
     """Texts that stand many times are made into features once, and every copy is in the pairs; also those of an id with two texts."""
     base = [f"k{i}" for i in range(40)]
