@@ -4,7 +4,8 @@ Method: a response is cut into clauses, and a linear-chain conditional random fi
 echo, foreign, unfinished, error or nothing. The shares of a response that the tags cover are aggregated into at most one
 defect of the pair; nothing but the tags decides.
 
-The field is trained on a bounded sample of the corpus. What it learns from is not what it sees: unfinished clauses are made
+The field is trained on all pairs of the corpus: on the driver where they are few, else in shards whose weights are averaged by
+how often a shard has seen a feature; letters and words are counted over all texts. What it learns from is not what it sees: unfinished clauses are made
 by breaking sound responses off, echoes by handing a query back, foreign clauses by answers to queries in another language
 and by sound text in made-up letters; refusals, machine messages and empty responses are labelled by broad cues. What it sees
 are the words, how far a clause runs along the query, how likely its letters are in the query's language, how it ends, and
@@ -22,15 +23,21 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.staging import hash_sample
+from larder.llm.staging import staged
 from larder.llm.words import WORD
 from larder.sources.tables import spread
 
-#: Responses that the field is trained on, at most, and training responses that are made of them, at least.
-SAMPLE, MADE = 2500, 1200
+#: Distinct pairs up to which the field is trained on the driver, and that are worked on at once; pairs of a shard beyond it, about;
+#: training responses that are made of sound ones, at least. All pairs are trained on at any size.
+FEW, SHARD, MADE = 2500, 10_000, 1200
+#: A word is heard if more answers have it than one, and than this share of all.
+HEARD = 1 / 2500
+#: Slices in which weights travel.
+SLICES = 64
 #: Clauses of a training response at most; longer ones are not trained on.
 TRAINED = 24
 #: How often a response of the sample with a refusal or a machine message is shown in a pass, as there are few.
@@ -155,30 +162,23 @@ class Languages:
     one of them."""
 
     def __init__(self, texts: list[str]):
-        seen: dict[str, Counter] = {lang: Counter() for lang in _FUNCTION}
-        kept = []
-        for text in texts:
-            for clause in clauses(visible(text)):
-                words = [w.casefold() for w in WORD.findall(clause)]
-                lang = by_function_words(words)
-                if lang:
-                    seen[lang].update(words)
-                    kept.append((lang, words))
-        self.tables = {}
-        self.words: dict[str, tuple] = {}
-        for lang, words in seen.items():
-            if len(words) >= 10:
-                three: Counter = Counter()
-                two: Counter = Counter()
-                for word in words:
-                    padded = f"^{word}$"
-                    three.update(padded[i : i + 3] for i in range(len(padded) - 2))
-                    two.update(padded[i : i + 2] for i in range(len(padded) - 2))
-                self.tables[lang] = dict(three), dict(two)
-        self.usual = {}
+        seen: dict[str, set] = {lang: set() for lang in _FUNCTION}
+        kept = [x for text in texts for x in _spoken_in(text)]
+        for lang, words in kept:
+            seen[lang].update(words)
+        self._set({lang: _grams(words) for lang, words in seen.items() if len(words) >= LEAST_WORDS})
         for lang in self.tables:
             own = [self.score(lang, words) for name, words in kept if name == lang and len(words) > 3]
-            self.usual[lang] = (float(np.mean(own)), float(max(np.std(own), 0.08))) if own else (-2.2, 0.3)
+            self.usual[lang] = _usual(len(own), float(np.sum(own)), float(np.sum(np.square(own))))
+
+    def _set(self, tables: dict[str, tuple[dict, dict]]) -> Languages:
+        self.tables, self.usual, self.words = tables, {}, {}
+        return self
+
+    @classmethod
+    def of_counts(cls, tables: dict[str, tuple[dict, dict]]) -> Languages:
+        """Of trigrams and bigrams that were counted before."""
+        return cls([])._set(tables)
 
     def _letters(self, lang: str, word: str) -> float:
         three, two = self.tables[lang]
@@ -226,6 +226,32 @@ class Languages:
         return best if best and self.score(best, words) >= self.usual[best][0] - 3 * self.usual[best][1] else None
 
 
+#: Distinct words of a language from which its letters are counted.
+LEAST_WORDS = 10
+
+
+def _spoken_in(text: str | None) -> list[tuple[str, list[str]]]:
+    """Language and words of each clause of a text with function words of one language above all."""
+    words = [[w.casefold() for w in WORD.findall(c)] for c in clauses(visible(text))]
+    return [(lang, own) for own in words if (lang := by_function_words(own))]
+
+
+def _grams(words: set[str]) -> tuple[dict[str, int], dict[str, int]]:
+    """Counts of the trigrams of some words, and of the bigrams that they begin with."""
+    three: Counter = Counter()
+    two: Counter = Counter()
+    for word in words:
+        padded = f"^{word}$"
+        three.update(padded[i : i + 3] for i in range(len(padded) - 2))
+        two.update(padded[i : i + 2] for i in range(len(padded) - 2))
+    return dict(three), dict(two)
+
+
+def _usual(n: int, total: float, squares: float) -> tuple[float, float]:
+    """Mean and spread of the scores of clauses in their own language."""
+    return (total / n, max(max(squares / n - (total / n) ** 2, 0.0) ** 0.5, 0.08)) if n else (-2.2, 0.3)
+
+
 def by_function_words(words: list[str]) -> str | None:
     """The language that leads by function words, None without a lead."""
     counts = sorted(((sum(w in own for w in words), lang) for lang, own in _FUNCTION.items()), reverse=True)
@@ -467,6 +493,7 @@ class ClauseField:
     def __init__(self) -> None:
         self.w = np.zeros((HASHED, len(TAGS)))
         self.t = np.zeros((len(TAGS), len(TAGS)))
+        self.squares, self.t_squares, self.order = np.full(self.w.shape, 1e-3), np.full(self.t.shape, 1e-3), np.random.default_rng(7)
 
     def scores(self, rows: list[list[int]]) -> np.ndarray:
         """The scores of the tags of many clauses, in one pass."""
@@ -485,8 +512,7 @@ class ClauseField:
 
     def train(self, data: list[tuple[list[list[int]], list[int]]], passes: int = PASSES) -> ClauseField:
         """Steps over groups of responses of like length; each weight has its own falling step."""
-        order = np.random.default_rng(7)
-        squares, t_squares = np.full(self.w.shape, 1e-3), np.full(self.t.shape, 1e-3)
+        order, squares, t_squares = self.order, self.squares, self.t_squares
         by_length = sorted(range(len(data)), key=lambda k: len(data[k][0]))
         groups = [by_length[at : at + STEP_ROWS] for at in range(0, len(by_length), STEP_ROWS)]
         for _ in range(passes):
@@ -598,10 +624,14 @@ class PairJudge:
 
 def trained(rows: list[tuple[str | None, str | None]]) -> PairJudge:
     """The field of some pairs, of which every response with few clauses is used, with the examples made of them."""
-    rng = np.random.default_rng(7)
     languages = Languages([x for row in rows for x in row if x])
     words = Counter(w for a in dict.fromkeys(a for _, a in rows if a) for w in {w.casefold() for w in WORD.findall(a)})
     reader = Reader(languages, {w for w, n in words.items() if n > 1})
+    return PairJudge(reader, _light(ClauseField().train(_lessons(reader, rows, np.random.default_rng(7)))))
+
+
+def _lessons(reader: Reader, rows: list[tuple[str | None, str | None]], rng: np.random.Generator) -> list[tuple[list[list[int]], list[int]]]:
+    """Features and tags of the clauses of some pairs and of the examples made of them."""
     data = []
     for query, answer in rows:
         found, features = reader.read(query, answer)
@@ -612,13 +642,114 @@ def trained(rows: list[tuple[str | None, str | None]]) -> PairJudge:
         found, features = reader.read(query, answer)
         if len(found) == len(tags):
             data.append((features, tags))
-    return PairJudge(reader, ClauseField().train(data))
+    return data
+
+
+def _light(field: ClauseField) -> ClauseField:
+    """A field without what only training needs."""
+    del field.squares, field.t_squares
+    return field
 
 
 def fitted(results: DataFrame) -> PairJudge:
-    """The field, trained on at most ``SAMPLE`` distinct pairs chosen by hash."""
-    answered = results.where("answer is not null").select("query", "answer")
-    return trained(sorted(set(map(tuple, hash_sample(answered, ["query", "answer"], answered.count(), SAMPLE))), key=str))
+    """The field, trained on all distinct pairs."""
+    answered = staged(results.where("answer is not null").select("query", "answer").distinct())
+    n = answered.count()
+    if n <= FEW:
+        return trained(sorted(map(tuple, answered.collect()), key=str))
+    reader = _counted_reader(answered)
+    return PairJudge(reader, _averaged(answered, reader, -(-n // SHARD)))
+
+
+def _counted_reader(answered: DataFrame) -> Reader:
+    """Letters of the languages and words of the answers, counted over all distinct texts."""
+    context = answered.sparkSession.sparkContext
+    texts = answered.select(F.col("answer").alias("text")).distinct().withColumn("answers", F.lit(True))
+    answers = texts.count()
+    texts = spread(staged(texts.unionByName(answered.where("query is not null").select(F.col("query").alias("text")).distinct().withColumn("answers", F.lit(False)))))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n: Counter = Counter()
+            for text, answer in zip(batch["text"], batch["answers"]):
+                if answer:
+                    n.update(("", w) for w in {w.casefold() for w in WORD.findall(text)})
+                n.update({(lang, w) for lang, own in _spoken_in(text) for w in own})
+            yield pd.DataFrame([(lang, w, k) for (lang, w), k in n.items()], columns=["lang", "word", "n"])
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, own in batch.groupby("lang"):
+                for size, table in zip((3, 2), _grams(set(own["word"]))):
+                    yield pd.DataFrame({"lang": lang, "size": size, "gram": list(table), "n": list(table.values())})
+
+    known = staged(texts.mapInPandas(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    heard = {r["word"] for r in known.where((F.col("lang") == "") & (F.col("n") > max(1.0, HEARD * answers))).select("word").collect()}
+    spoken = {r["lang"] for r in known.where("lang <> ''").groupBy("lang").count().where(F.col("count") >= LEAST_WORDS).collect()}
+    tables: dict[str, tuple[dict, dict]] = {lang: ({}, {}) for lang in _FUNCTION if lang in spoken}
+    for lang, size, gram, n in known.where("lang <> ''").select("lang", "word").mapInPandas(grams, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n")).collect():
+        if lang in tables:
+            tables[lang][3 - size][gram] = n
+    languages = Languages.of_counts(tables)
+    shared = context.broadcast(languages)
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        for batch in batches:
+            rows = [(lang, own.score(lang, words)) for text in batch["text"] for lang, words in _spoken_in(text) if lang in own.tables and len(words) > 3]
+            yield pd.DataFrame(rows, columns=["lang", "score"])
+
+    seen = texts.select("text").mapInPandas(scored, "lang string, score double").groupBy("lang").agg(F.count("*"), F.sum("score"), F.sum(F.col("score") * F.col("score"))).collect()
+    languages.usual = {lang: _usual(0, 0.0, 0.0) for lang in tables} | {lang: _usual(*sums) for lang, *sums in seen}
+    languages.words = {}
+    return Reader(languages, heard)
+
+
+def _averaged(answered: DataFrame, reader: Reader, shards: int) -> ClauseField:
+    """The field of all pairs: each shard trains one on its pairs, in steps through them; a weight is the mean over the shards that
+    have seen its feature, by how often they have. The shards, and with them the field, depend on the pairs only."""
+    shared = answered.sparkSession.sparkContext.broadcast(reader)
+    width = len(TAGS) + 1
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field, own, rng, seen, rows, passes, shard = ClauseField(), shared.value, np.random.default_rng(7), np.zeros(HASHED), [], PASSES, 0
+
+        def learn() -> None:
+            nonlocal passes
+            data = _lessons(own, rows, rng)
+            rows.clear()
+            if data:
+                np.add.at(seen, np.fromiter((x for response, _ in data for r in response for x in r), np.int64), 1)
+                field.train(data, passes)
+                passes = 1
+
+        for batch in batches:
+            for shard, query, answer in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append((query, answer))
+                if len(rows) >= FEW:
+                    learn()
+        if rows:
+            learn()
+        if seen.any():
+            total = np.concatenate([field.w * seen[:, None], seen[:, None]], 1).reshape(SLICES, -1)
+            moves = np.append(field.t.ravel(), 1.0) * seen.max()
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * (SLICES + 1), pa.int32()), pa.array(range(SLICES + 1), pa.int32()), pa.array([x.tobytes() for x in [*total, moves]], pa.binary())], names=["shard", "slice", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        total = sum(np.frombuffer(x) for x in table.column("sums").to_pylist())
+        return pa.table({"slice": table.column("slice")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    dealt = answered.withColumn("shard", F.pmod(F.xxhash64("query", "answer"), F.lit(shards)).cast("int")).select("shard", "query", "answer")
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("query", "answer")
+    sums = dealt.mapInArrow(train, "shard int, slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect()
+    held = {at: np.frombuffer(x) for at, x in sums}
+    field = _light(ClauseField())
+    if held:
+        table = np.concatenate([held[k] for k in range(SLICES)]).reshape(HASHED, width)
+        field.w = table[:, :-1] / np.maximum(table[:, -1:], 1.0)
+        field.t = (held[SLICES][:-1] / held[SLICES][-1]).reshape(field.t.shape)
+    return field
 
 
 def pair_defects(results: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larder.llm import boilerplate, encoding, leakage, pairs, privacy, scans, splitting
 
@@ -231,6 +232,21 @@ def test_unseen_wording(spark):
     assert wrong(field) <= 1 and wrong(by_cues) > wrong(field) + 1
 
 
+def test_all_pairs_are_trained_on(spark, monkeypatch):
+    """Beyond what the driver trains on, every pair has its part in the weights, and every word in the letters; any partitioning gives the same."""
+    rows = [(i, f"Hilft q{i}x bei Eisenmangel und Anämie?", f"Ja, a{i}y hilft und ist gesund. Die Dosis ist {i} mg am Tag.") for i in range(2600)]
+    df = spark.createDataFrame(rows + rows[:50], "query_id bigint, query string, answer string")
+    monkeypatch.setattr(pairs, "SHARD", 900, raising=False)
+    judge = pairs.fitted(df.repartition(3))
+    number = pairs._Numbers()
+    assert all(judge.field.w[number[f"a{i}y"]].any() for i in range(2600))
+    assert judge.reader.languages.tables["de"][0]["^a1"] == sum(str(i).startswith("1") for i in range(2600))
+    assert judge.reader.languages.usual["de"][1] < 1 and {"gesund", "tag"} <= judge.reader.vocabulary
+    assert judge.defects([(rows[0][1], rows[0][2]), (rows[0][1], rows[0][1])]) == [None, "copy"]
+    again = pairs.fitted(df.repartition(7).orderBy(F.desc("query_id")))
+    assert np.allclose(again.field.w, judge.field.w) and np.allclose(again.field.t, judge.field.t)
+
+
 def test_cut_points():
     chosen = random.Random(4)
     for n in range(300):
